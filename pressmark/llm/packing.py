@@ -32,7 +32,7 @@ from pressmark.llm import bpe_tree
 
 CAPACITY = 1024
 PIECE = 512
-BLOCK = 256
+BLOCK = 128
 END = 0
 
 
@@ -124,12 +124,12 @@ def pack(docs: DataFrame, file: bytes, end: int = END) -> DataFrame:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         doc, start, ids, n, seq, at = zip(*rows)
         return pa.record_batch(
-            [pa.array(doc, arrow), pa.array(start, pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(n, pa.int64()), pa.array(seq, pa.int64()), pa.array(at, pa.int64())],
+            [pa.array(doc, arrow), pa.array(start, pa.int64()), pa.array([i.astype("<u4", copy=False).tobytes() for i in ids], pa.binary()), pa.array(n, pa.int64()), pa.array(seq, pa.int64()), pa.array(at, pa.int64())],
             ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe_tree.TreeEncoder.load(file)
+        encoder, last = bpe_tree.TreeEncoder.load(file), np.uint32(end)
         packer = Packer(TaskContext.get().partitionId() << 40)
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, file: bytes, end: int = END) -> DataFrame:
             for group in bpe_tree.encode_column(encoder, batch.column("text")):
                 rows = []
                 for doc, ids in zip(keys[at : at + len(group)], group):
-                    rows += packer.add(doc, np.array([*ids, end], "<u4"))
+                    rows += packer.add(doc, np.append(ids, last))
                 at += len(group)
                 if rows:
                     yield batch_of(rows)
