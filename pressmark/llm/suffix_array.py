@@ -103,42 +103,47 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return plcp[sa]
 
 
-def search(text: np.ndarray, sa: np.ndarray, queries: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every query (rows of ``length`` bytes) the places [low, high) in sa of the suffixes that begin with it, by binary search."""
-    n = len(sa)
-    low, high = np.zeros(len(queries), np.int64), np.full(len(queries), n)
+def spread(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes from each position on as rows of words (of words8), what is beyond them zero."""
     steps = -(-length // 8)
-    padded = np.concatenate([text, np.full(8 * steps + 8, PART, np.uint8)])
-    qw = np.zeros((len(queries), 8 * steps), np.uint8)
-    qw[:, :length] = queries
-    qw = qw.view(">u8").astype(np.uint64)
+    out = words[at[:, None] + 8 * np.arange(steps)]
+    if length % 8:
+        out[:, -1] &= np.uint64(((1 << (8 * (length % 8))) - 1) << (64 - 8 * (length % 8)))
+    return out
+
+
+def search(words: np.ndarray, sa: np.ndarray, queries: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every query (rows of spread()) the places [low, high) in sa of the suffixes that begin with it, by binary search.
+
+    words: words8 of the text, then as many of 0xFF as a query has.
+    """
+    steps = queries.shape[1]
     mask = np.uint64(0xFFFFFFFFFFFFFFFF) if length % 8 == 0 else np.uint64(((1 << (8 * (length % 8))) - 1) << (64 - 8 * (length % 8)))
-    tw = words8(padded)
 
     def compare(at: np.ndarray, live: np.ndarray) -> np.ndarray:
         """-1, 0 or 1: the suffix against the query."""
-        out = np.zeros(len(at), np.int64)
+        out = np.zeros(len(at), np.int8)
         open_ = np.arange(len(at))
         for k in range(steps):
-            x = tw[np.minimum(at[open_] + 8 * k, len(tw) - 1)]
+            x = words[at[open_] + 8 * k]
             if k == steps - 1:
                 x = x & mask
-            y = qw[live[open_], k]
-            out[open_] = np.where(x < y, -1, np.where(x > y, 1, 0))
-            open_ = open_[x == y]
+            y = queries[live[open_], k]
+            same = x == y
+            out[open_] = np.where(x < y, -1, 1) * ~same
+            open_ = open_[same]
             if not len(open_):
                 break
         return out
 
-    for upper in (False, True):
-        lo, hi = (low.copy(), np.full(len(queries), n)) if upper else (low, high)
+    def bound(upper: bool, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         while len(live := np.flatnonzero(lo < hi)):
             mid = (lo[live] + hi[live]) // 2
             c = compare(sa[mid], live)
             right = c <= 0 if upper else c < 0
             lo[live[right]] = mid[right] + 1
             hi[live[~right]] = mid[~right]
-        if upper:
-            return low, lo
-        low = lo
-    raise AssertionError
+        return lo
+
+    low = bound(False, np.zeros(len(queries), np.int64), np.full(len(queries), len(sa)))
+    return low, bound(True, low.copy(), np.full(len(queries), len(sa)))

@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 
 from pressmark.llm import flat
 from pressmark.llm.shared import checkpointed
-from pressmark.llm.suffix_array import PART, common_prefixes, search, suffix_array
+from pressmark.llm.suffix_array import PART, common_prefixes, search, spread, suffix_array, words8
 
 WINDOW = 200
 GRAM = 64
-SHARD = 1 << 20
-BLOCK = 4 << 20  # bytes of contexts that a task sorts at a time
+SLICE = 1 << 18
+SHARD = 1 << 18
+BLOCK = 1 << 20  # bytes of contexts that a task sorts at a time
 HOT = 2048  # different contexts of a gram from which it is dealt finer
 FINE = 8  # window starts of one finer class
 
@@ -86,14 +87,14 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offs in flat.slices(batch.column("text")):
+        for _, _, data, offs in flat.slices(batch.column("text"), SLICE):
             grams, n = np.unique(anchors(data, offs)[1], return_counts=True)
             yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, _, data, offs in flat.slices(batch.column("text")):
+        for i, _, data, offs in flat.slices(batch.column("text"), SLICE):
             own, gram, context, start, anchor, count = anchors(data, offs)
             yield pa.record_batch(
                 [batch.column("digest").take(pa.array(own + i)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(start), pa.array(anchor - start), pa.array(count)],
@@ -143,38 +144,49 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, times: np.ndarray,
     exactly one of them; times: how often a piece occurs. Windows of different routes never match.
     """
     size = np.array([len(p) for p in pieces], np.int64)
-    cut = np.concatenate([[0], np.cumsum(size + 1)])
-    parts = [np.flatnonzero((cut[:-1] // shard) == s) for s in np.unique(cut[:-1] // shard)]
     found: list[np.ndarray] = [np.zeros(c, bool) for c in counts]
-    built = []
-    for own in parts:
+    # a shard ends where a route ends, or in the middle of one that would double it
+    parts: list[list[int]] = [[]]
+    filled = 0
+    for i, n in enumerate(size.tolist()):
+        if filled >= 2 * shard or filled >= shard and routes[i] != routes[i - 1]:
+            parts.append([])
+            filled = 0
+        parts[-1].append(i)
+        filled += n
+    built: list[tuple] = []
+    for own in map(np.array, parts if len(pieces) else []):
         text = np.frombuffer(bytes([PART]).join([pieces[i] for i in own] + [b""]), np.uint8)
-        base = cut[own] - cut[own[0]]
+        base = np.concatenate([[0], np.cumsum(size[own] + 1)[:-1]])
         sa = suffix_array(text, WINDOW)
         lcp = common_prefixes(text, sa)
         weight = np.zeros(len(text), np.int64)
         who = np.repeat(own, counts[own])
         where = np.arange(len(who)) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own])
-        pos = np.repeat(base, counts[own]) + where
-        weight[pos] = times[who]
+        weight[np.repeat(base, counts[own]) + where] = times[who]
         group = np.cumsum(lcp < WINDOW)
         heavy = np.bincount(group, weight[sa])
         twice = np.zeros(len(text), bool)
         twice[sa] = heavy[group] >= 2
         for i, b in zip(own, base):
             found[i] |= twice[b : b + counts[i]]
-        built.append((text, sa, own, base, np.concatenate([[0], np.cumsum(weight[sa])])))
-    # routes that reach over several shards: each one's windows are looked up in the others
-    for x, (text, _, own, base, _) in enumerate(built):
-        for y, (other, sa, theirs, _, mass) in enumerate(built):
-            if x == y or routes[own[-1]] < routes[theirs[0]] or routes[theirs[-1]] < routes[own[0]]:
+        # kept for the search only where a route goes on in another shard
+        open_ = [routes[k] for k in (own[0], own[-1]) if k - 1 >= 0 and k == own[0] and routes[k - 1] == routes[k] or k + 1 < len(pieces) and k == own[-1] and routes[k + 1] == routes[k]]
+        if open_:
+            words = np.concatenate([words8(text), np.full(WINDOW, 0xFFFFFFFFFFFFFFFF, np.uint64)])
+            built.append((set(open_), words, sa, own, base, np.concatenate([[0], np.cumsum(weight[sa])])))
+    for x, (shared, words, _, own, base, _) in enumerate(built):
+        for y, (others, theirs, sa, _, _, mass) in enumerate(built):
+            both = shared & others
+            if x == y or not both:
                 continue
-            shared = np.intersect1d(routes[own], routes[theirs])
-            for i, b in zip(own, base):
-                if routes[i] in shared and not found[i].all():
-                    ask = np.flatnonzero(~found[i])
-                    low, high = search(other, sa, text[(b + ask)[:, None] + np.arange(WINDOW)], WINDOW)
-                    found[i][ask] |= mass[high] > mass[low]
+            ask = [(i, b, np.flatnonzero(~found[i])) for i, b in zip(own, base) if routes[i] in both and not found[i].all()]
+            if ask:
+                low, high = search(theirs, sa, spread(words, np.concatenate([b + k for _, b, k in ask]), WINDOW), WINDOW)
+                seen, at = mass[high] > mass[low], 0
+                for i, _, k in ask:
+                    found[i][k] |= seen[at : at + len(k)]
+                    at += len(k)
     return found
 
 
@@ -208,12 +220,13 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return docs.withColumn("digest", F.coalesce(F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(b"")))  # never null
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """digest, runs: the maximal spans [a, b) of bytes to remove of every different text that has any."""
-    own = with_digest(docs.select("doc_id", "text")).filter(F.octet_length("text") >= WINDOW)
+    every = with_digest(docs.select("doc_id", "text"))
+    own = every.filter(F.octet_length("text") >= WINDOW)
     twice = own.select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
     found = own.select("digest", "text").mapInArrow(_contexts, "digest binary, gram long, context long, start long, lead long, count long")
     # one row for each context of a different text, with the rows that have it
@@ -223,8 +236,10 @@ def spans(docs: DataFrame) -> DataFrame:
     kinds = kinds.join(hot, "gram", "left")
     one_of = F.struct("gram", "context", F.col("at.start").alias("start"), "lead", "count", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = kinds.groupBy(F.col("at.digest").alias("digest")).agg(F.collect_list(one_of).alias("wanted"))  # of one text
-    holders = own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))  # one of a group of copies
-    cut = own.join(wanted.join(holders, "digest"), ["digest", "doc_id"]).select("text", "wanted").mapInArrow(_cut, "route long, gram long, context long, n long, first long, count long, bytes binary")
+    holders = own.groupBy("digest").agg(F.min("doc_id").alias("holder"))  # one of a group of copies
+    # dealt by digest like the join that cuts the texts in the end, so that the texts are shuffled once
+    one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
+    cut = every.join(wanted.join(holders, "digest"), "digest").filter(one).select("text", "wanted").mapInArrow(_cut, "route long, gram long, context long, n long, first long, count long, bytes binary")
     runs = cut.repartition("route").sortWithinPartitions("route", "gram", "context", "first").mapInArrow(_sorted_shards, "gram long, context long, low long, high long")
     runs = runs.groupBy("gram", "context").agg(F.collect_list(F.struct("low", "high")).alias("w"))  # of one context
     per_text = contexts.join(runs, ["gram", "context"]).select("digest", "start", "w").groupBy("digest").agg(F.collect_list(F.struct("start", "w")).alias("r"))
@@ -276,7 +291,7 @@ def removed(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the repeated bytes cut from the text; n_chars, where there is one, counts what is left."""
     names = docs.columns
-    joined = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(spans(docs).select(F.col("digest").alias("_digest"), F.col("runs").alias("_runs")), "_digest", "left").select(*names, "_runs")
+    joined = docs.withColumn("_digest", F.coalesce(F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(b""))).join(spans(docs).select(F.col("digest").alias("_digest"), F.col("runs").alias("_runs")), "_digest", "left").select(*names, "_runs")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,9 +29,11 @@ def test_suffix_array_prefixes_and_search():
                 m += 1
             assert lcp[k] == m and b[i:] + b"\xff" * 400 <= b[j:] + b"\xff" * 400
         if n > 12:
-            q = np.stack([x[i : i + 7] for i in r.integers(0, n - 7, 10)])
-            for a, low, high in zip(q, *S.search(x, sa, q, 7)):
-                assert sorted(sa[low:high].tolist()) == [i for i in range(n - 6) if b[i : i + 7] == a.tobytes()]
+            for length in (7, 8, 11):
+                at = r.integers(0, n - 11, 10)
+                words = np.concatenate([S.words8(x), np.full(16, 2**64 - 1, np.uint64)])
+                for a, low, high in zip(at, *S.search(words, sa, S.spread(words, at, length), length)):
+                    assert sorted(sa[low:high].tolist()) == [i for i in range(n - length + 1) if b[i : i + length] == b[a : a + length]]
 
 
 def brute(texts):
