@@ -41,6 +41,16 @@ class Forest:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
+def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
+    """Thresholds at quantiles, each in the middle between two values."""
+    own = np.unique(values)
+    if len(own) < 2:
+        return np.zeros(0)
+    at = np.unique(np.searchsorted(own, np.quantile(values, np.linspace(0, 1, bins + 1)[:-1], method="lower")))
+    at = at[at < len(own) - 1]
+    return (own[at] + own[at + 1]) / 2
+
+
 def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: int = 5) -> Forest:
     """order: per feature +1 (never falls), -1 (never rises) or 0. Without rows or with one label, a constant."""
     n, f = x.shape
@@ -50,7 +60,9 @@ def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray, trees: int = 60, depth:
     roots: list[int] = []
     if n == 0 or y.min() == y.max():
         trees = 0
-    cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) if n else np.zeros(0) for k in range(f)]
+    cuts = [_cuts(x[:, k], bins) for k in range(f)]
+    # of equally good splits a constrained feature's comes first
+    looked = sorted(range(f), key=lambda k: order[k] == 0)
     binned = np.stack([np.searchsorted(cuts[k], x[:, k], "left") for k in range(f)], 1) if n else np.zeros((0, f), np.int64)
     margin = np.full(n, start)
     for _ in range(trees):
@@ -65,7 +77,7 @@ def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray, trees: int = 60, depth:
             if level == depth or len(rows) < 2 * least:
                 margin[rows] += rate * value
                 return me
-            for k in range(f):
+            for k in looked:
                 width = len(cuts[k]) + 1
                 if width < 2:
                     continue
@@ -79,7 +91,7 @@ def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray, trees: int = 60, depth:
                 if order[k]:
                     gain[(vr - vl) * order[k] < 0] = 0
                 c = int(gain.argmax())
-                if gain[c] > best[0]:
+                if gain[c] > best[0] * (1 + 1e-9):
                     best = (float(gain[c]), (k, c, float(vl[c]), float(vr[c])))
             if best[1] is None:
                 margin[rows] += rate * value
