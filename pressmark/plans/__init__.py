@@ -1,0 +1,10 @@
+"""All registered queries."""
+
+from importlib import import_module
+
+from pressmark.plans.registry import ORACLES, QUERIES
+
+for _name in ("olap",):
+    import_module(f"pressmark.plans.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]
