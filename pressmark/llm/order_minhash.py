@@ -11,11 +11,15 @@ Similarity is that of the alignment: with m shingles matched in order and n in b
 texts together, m / (n - m); 0.8 or more is a link. The alignment is a longest common
 subsequence inside the band of offsets that a link can have, bit-parallel.
 
-Buckets are never paired out at once. In each round every bucket compares one leader
-with its members of other classes, and links join classes. What is left after the
-rounds - pairs of one bucket in different classes, not compared yet - is compared in
-full, but for pairs that the lengths or the triangle inequality of the alignment
-distance (with the first leader) rule out. Copies of one text are one row throughout.
+Buckets are never paired out. Every bucket compares its leader, the member that shares
+most buckets with others, with its other members, and links join classes. Members of one
+leader that are still in different classes are then compared in blocks: a product of
+their shingle tables gives how many every two have in common, which rules out all that
+cannot be links, and the rest are aligned unless they have become one class meanwhile.
+Only links leave a block, fewer than it has members. A leader with many members is dealt
+to several blocks by hash, and every two of its blocks meet in a task of their own; only
+these copies grow with the square of a group, by the number of its blocks. Copies of one
+text are one row throughout.
 
 Defined cases: null and empty texts and those without a word are classes by themselves;
 equal texts with words are one class; repeated rows likewise; a class's id is its least
@@ -38,7 +42,9 @@ from pressmark.llm.shared import checkpointed
 K = 5
 SKETCHES = 20
 KEPT = 3
-ROUNDS = 2
+BLOCK = 256  # members of a leader compared at a time, on either side
+BLOCK_CHARS = 1 << 20
+WIDE = 4096
 SIMILARITY = (4, 5)  # a ratio: 4 / 5
 
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -193,13 +199,87 @@ def _shingles_of(text: str) -> np.ndarray:
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple[str, np.ndarray] | None = None
     for batch in batches:
-        out = []
+        linked = []
         for ta, tb in zip(batch.column("ta"), batch.column("tb")):
             ta, tb = ta.as_py(), tb.as_py()
             if last is None or last[0] != ta:
                 last = (ta, _shingles_of(ta))
-            out.append(distance(last[1], _shingles_of(tb)))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b", "least", "most"])
+            linked.append(distance(last[1], _shingles_of(tb))[1] is not None)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles every two texts have in common."""
+    n = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(every, kind="stable")
+    every, own = every[order], own[order]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column)[column] > 1  # others count for nobody else
+    column, own = column[shared], own[shared]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    if len(column):
+        column = np.cumsum(np.concatenate([[0], np.diff(column) > 0]))
+        cut = np.searchsorted(column, np.arange(0, column[-1] + 1 + WIDE, WIDE))
+        for k, (i, j) in enumerate(zip(cut, cut[1:])):
+            table = np.zeros((len(sets), WIDE), np.float32)
+            table[own[i:j], column[i:j] - k * WIDE] = 1
+            out += table @ table.T
+    return out
+
+
+def links_of(plain: list[np.ndarray], sets: list[np.ndarray], roots: list, sides: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that join classes. sides: block numbers where only pairs across two blocks are wanted."""
+    parent = {r: r for r in roots}
+
+    def find(r):
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    n = np.array([len(x) for x in plain])
+    number = {r: k for k, r in enumerate(parent)}
+    root = np.array([number[r] for r in roots])
+    p, q = SIMILARITY
+    likely = np.triu(((p + q) * common(sets) >= p * (n[:, None] + n[None, :])) & (root[:, None] != root[None, :]), 1)
+    if sides is not None:
+        likely &= sides[:, None] != sides[None, :]
+    found = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(likely))):
+        x, y = find(roots[i]), find(roots[j])
+        if x != y and distance(plain[i], plain[j])[1] is not None:
+            parent[x] = y
+            found.append((i, j))
+    return found
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (a, x, y): the members of block x and y of leader a."""
+    rows: list[tuple] = []
+    zero = np.zeros(1, np.int64)
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        nonlocal rows
+        own, rows = rows, []
+        if len(own) < 2:
+            return
+        plain = [_shingles_of(r[4]) for r in own]
+        sides = np.array([r[3] for r in own]) if own[0][0][1] != own[0][0][2] else None
+        found = links_of(plain, [_labelled(h, np.repeat(zero, len(h))) for h in plain], [r[2] for r in own], sides)
+        if found:
+            yield pa.record_batch([pa.array([own[i][1] for i, _ in found], pa.binary()), pa.array([own[j][1] for _, j in found], pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        for a, x, y, b, root, side, text in zip(*(batch.column(c) for c in ("a", "x", "y", "b", "root", "side", "text"))):
+            key = (a.as_py(), x.as_py(), y.as_py())
+            if rows and rows[0][0] != key:
+                yield from solve()
+            rows.append((key, b.as_py(), root.as_py(), side.as_py(), text.as_py()))
+    yield from solve()
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,61 +289,50 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(n)
             rows = pa.array(np.repeat(some, SKETCHES) + i)
             yield pa.record_batch(
-                [pa.array(buckets[some].ravel().view(np.int64)), batch.column("h").take(rows), batch.column("digest").take(rows), pa.array(np.repeat(n[some], SKETCHES))],
-                ["bucket", "h", "digest", "size"],
+                [pa.array(buckets[some].ravel().view(np.int64)), batch.column("digest").take(rows)],
+                ["bucket", "digest"],
             )
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """digest, root: the class (its least digest) of every text that is linked to another text."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", "text").withColumn("digest", F.unhex(F.md5(text))).withColumn("h", F.xxhash64(text))
-    found = own.select("h", "digest", "text").mapInArrow(_sketched, "bucket long, h long, digest binary, size long").groupBy("bucket", "h", "digest", "size").agg(F.lit(1).alias("_"))
-    several = found.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high").select("bucket")
-    members = checkpointed(found.join(several, "bucket").select("bucket", "h", "digest", "size"))
+    own = docs.select("doc_id", "text").withColumn("digest", F.unhex(F.md5(text)))
+    found = own.select("digest", "text").mapInArrow(_sketched, "bucket long, digest binary").distinct()
+    several = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = checkpointed(found.join(several, "bucket"))
+
+    of_members = own.select("digest", "doc_id").join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("holder"))
+    one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
+    texts = checkpointed(own.join(of_members, "digest").filter(one).select("digest", "text").dropDuplicates(["digest"]))
 
-    holders = own.select("digest", "doc_id").join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    texts = checkpointed(own.select("digest", "doc_id", "text").join(holders, ["digest", "doc_id"]).select("digest", "text").dropDuplicates(["digest"]))
+    def paired(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with their texts, those of one a together where partitions allow."""
+        return pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-        return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(_aligned, "a binary, b binary, least long, most long"))
-
-    def starred(of: DataFrame, number: int) -> DataFrame:
-        """Every bucket's leader, another in each round, with the bucket's members of other classes."""
-        leader = of.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("h", F.lit(number)).alias("k"), F.col("digest").alias("leader"), F.col("root").alias("lead_root"))).alias("m")).select("bucket", "m.leader", "m.lead_root")
-        pairs = of.join(leader, "bucket").filter(F.col("root") != F.col("lead_root"))
-        return pairs.select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-
-    def rooted(of: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members with their classes; buckets of one class are done with."""
-        m = of.join(roots.withColumnRenamed("v", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        mixed = m.groupBy("bucket").agg(F.min(F.xxhash64("root")).alias("low"), F.max(F.xxhash64("root")).alias("high")).filter("low != high").select("bucket")
-        return m.join(mixed, "bucket", "left_semi")
-
-    tested = compared(starred(members.withColumn("root", F.col("digest")), 0))
-    first = tested
-    links = tested.filter("most is not null").select("a", "b")
+        return checkpointed(paired(pairs).select("a", "b", "ta", "tb").mapInArrow(_aligned, "a binary, b binary, linked boolean"))
+
+    # the leader of a bucket shares most buckets with others
+    shares = members.groupBy("digest").agg(F.sum("n").alias("shares"))
+    leaders = members.join(shares, "digest").groupBy("bucket").agg(F.max(F.struct("shares", "digest")).alias("m")).select("bucket", F.col("m.digest").alias("a"))
+    stars = members.join(leaders, "bucket").filter(F.col("digest") != F.col("a")).select("a", F.col("digest").alias("b")).distinct()
+    tested = compared(stars)
+    links = tested.filter("linked").select("a", "b")
     roots = connected(links)
-    for number in range(1, ROUNDS):
-        new = compared(starred(rooted(members, roots), number).join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        tested, links = tested.union(new), links.union(new.filter("most is not null").select("a", "b"))
-        roots = connected(links)
-
-    # what the rounds have left open
-    leader = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("h", F.lit(0)).alias("k"), F.col("digest").alias("leader"))).alias("m")).select("bucket", "m.leader")
-    side = rooted(members, roots).join(leader, "bucket").join(first.select(F.col("a").alias("leader"), F.col("b").alias("digest"), "least", "most"), ["leader", "digest"], "left")
-    at_lead = F.col("digest") == F.col("leader")
-    side = side.select("bucket", "digest", "size", "root", F.when(at_lead, 0).otherwise(F.coalesce("least", F.lit(0))).alias("least"), F.when(at_lead, 0).otherwise(F.col("most")).alias("most"))
-    x, y = (side.select("bucket", *[F.col(c).alias(c + end) for c in side.columns[1:]]) for end in "ab")
-    n = F.col("sizea") + F.col("sizeb")
-    limit = n - 2 * F.ceil(SIMILARITY[0] * n / sum(SIMILARITY))
-    apart = lambda p, q: F.coalesce(F.col("least" + p) - F.col("most" + q) > limit, F.lit(False))
-    open_pairs = x.join(y, "bucket").filter((F.col("digesta") < F.col("digestb")) & (F.col("roota") != F.col("rootb")) & (F.abs(F.col("sizea") - F.col("sizeb")) <= limit) & ~apart("a", "b") & ~apart("b", "a"))
-    open_pairs = open_pairs.select(F.col("digesta").alias("a"), F.col("digestb").alias("b")).distinct()
-    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = compared(open_pairs.join(seen, ["a", "b"], "left_anti"))
-    return connected(links.union(new.filter("most is not null").select("a", "b"))).withColumnRenamed("v", "digest")
+
+    # leaders with members in several classes; a single member has no other to be linked with
+    known = tested.join(roots.withColumnRenamed("v", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    known = known.join(texts.select(F.col("digest").alias("b"), F.char_length("text").alias("n")), "b")
+    mixed = known.groupBy("a").agg(F.count("*").alias("k"), F.count_if("linked").alias("l"), F.sum("n").alias("n")).filter("k > 1 and l < k")
+    mixed = mixed.select("a", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    # member of block s: in the tasks (x, s) and (s, y)
+    side = F.pmod(F.xxhash64("b"), "blocks").cast("int")
+    dealt = known.join(mixed, "a").select("a", "b", "root", "blocks", side.alias("side"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "b", "root", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+    dealt = dealt.join(texts.select(F.col("digest").alias("b"), "text"), "b").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "b")
+    more = dealt.select("a", "x", "y", "b", "root", "side", "text").mapInArrow(_blocks, "a binary, b binary")
+    return connected(links.union(more)).withColumnRenamed("v", "digest")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
