@@ -4,7 +4,7 @@ from importlib import import_module
 
 from pressmark.plans.registry import ORACLES, QUERIES
 
-for _name in ("olap", "matching"):
+for _name in ("olap", "matching", "retrieval", "evaluation"):
     import_module(f"pressmark.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
