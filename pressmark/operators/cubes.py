@@ -77,9 +77,7 @@ def hit_coverage(hits: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Median and nearest-rank 95th percentile of each group: the value at rank ceil(0.95 n)."""
-    w = Window.partitionBy(key)
-    ranked = rows.select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(key).agg(F.round(F.percentile(value, 0.5), 6).alias("median"), F.max(F.when(F.col("r") == F.ceil(F.lit(0.95) * F.col("n")), F.col(value))).alias("p95"))
+    return rows.groupBy(key).agg(F.round(F.percentile(value, 0.5), 6).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
 
 
 def rate_status(rows: DataFrame, ts: str) -> DataFrame:

@@ -117,9 +117,10 @@ def wn12(t):
     return n.withColumn("start", F.explode(T.windows(F.col("n"), 100, 20))).select("doc_id", F.col("start").cast("long").alias("start"), F.least(F.col("start") + 100, F.col("n")).cast("long").alias("stop"))
 
 
-@query("tk3_cosine_rank", "SELECT doc_id AS vec_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM @densearm")
+@query("tk3_cosine_rank", "SELECT doc_id AS vec_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM @densearm JOIN labels USING (doc_id) WHERE toxic = 1")
 def tk3(t):
-    return S.with_rank(_dense(t), "doc_id", ["q"], "rank").select(F.col("doc_id").alias("vec_id"), "rank")
+    pool = _dense(t).join(t.labels.filter("toxic = 1"), "doc_id", "left_semi")  # the judged pool of a question
+    return S.with_rank(pool, "doc_id", ["q"], "rank").select(F.col("doc_id").alias("vec_id"), "rank")
 
 
 @query("sm2_stratified_interleave", """SELECT c_custkey, row_number() OVER (ORDER BY r, c_mktsegment) AS position FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('st' || c_custkey::VARCHAR), c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n, count(*) OVER () AS total FROM customer) WHERE r <= ceil(30.0 * n / total)""")

@@ -11,6 +11,7 @@ from pressmark.operators import retrieval as S
 from pressmark.plans.registry import part, query
 
 QUESTION = "What did the report conclude about onheed nteres worthless edha and thinor in 1998?"
+CANDIDATES = S.RetrieveConfig().candidates
 STOP = "(" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")"
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -118,12 +119,13 @@ def rt13(t):
 
 
 @query("rt16_cross_shard_merge", """SELECT doc_id, coalesce(a.shard, b.shard) AS shard, a.r AS bm25_rank, b.r AS dense_rank, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS rrf
- FROM (SELECT doc_id, lang AS shard, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, round(score, 9) AS s FROM @lexical) JOIN documents USING (doc_id)) a
- FULL JOIN (SELECT doc_id, lang AS shard, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM @densearm JOIN documents USING (doc_id)) b USING (doc_id)
+ FROM (SELECT doc_id, lang AS shard, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, round(score, 9) AS s FROM @lexical JOIN documents USING (doc_id) ORDER BY s DESC, doc_id LIMIT 200) JOIN documents USING (doc_id)) a
+ FULL JOIN (SELECT doc_id, lang AS shard, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT doc_id, score FROM @densearm JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 200) JOIN documents USING (doc_id)) b USING (doc_id)
  ORDER BY coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) DESC, doc_id LIMIT 15""")
 def rt16(t):
     shard = t.documents.select("doc_id", F.col("lang").alias("shard"))
-    return S.merged(_lexical(t).join(shard, "doc_id").select("doc_id", "shard", F.col("score").alias("bm25")), _dense(t).join(shard, "doc_id").select("doc_id", "shard", F.col("score").alias("dense")), "doc_id", 15)
+    best = lambda arm, name: R.top(arm.join(shard, "doc_id").select("doc_id", "shard", F.col("score").alias(name)), [F.desc(name), F.col("doc_id")], CANDIDATES)
+    return S.merged(best(_lexical(t), "bm25"), best(_dense(t), "dense"), "doc_id", 15)
 
 
 part("sharddf", "sharddf AS (SELECT lang AS shard, term, count(*) AS df FROM @postings JOIN documents USING (doc_id) GROUP BY 1, 2)")
