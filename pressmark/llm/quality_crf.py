@@ -7,8 +7,8 @@ a document is the mean of the forward-backward probability "good" over its lines
 weighted by their code points.
 
 Defined cases: a null text is empty; an empty text is one empty line and is scored
-like any other; repeated rows are scored alike; columns other than the id and the
-text are never read.
+like any other; repeated rows are scored alike; a row without an id is scored and not
+held out; columns other than the id and the text are never read.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
