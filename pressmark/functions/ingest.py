@@ -36,17 +36,22 @@ def ocr_quality(c: Column | str) -> Column:
     The five weights are fixed values: 0.15, 0.25, 0.40, 0.10, 0.10. A blank text is 0.
     """
     t = _text(c)
-    solid = F.char_length(F.regexp_replace(t, r"\s+", ""))
     letters = lambda x: F.char_length(F.regexp_replace(x, r"[^\p{L}\p{N}]+", ""))
-    tokens = F.filter(F.split(F.trim(t), r"\s+"), lambda x: x != "")
-    words = F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
-    common = F.size(F.filter(words, lambda w: F.lower(w).isin(COMMON_WORDS)))
-    lines = F.filter(F.split(t, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    noisy = F.size(F.filter(lines, lambda x: letters(x) < 0.5 * F.char_length(F.regexp_replace(x, r"\s+", ""))))
-    mean = _share(solid, F.size(tokens))
-    length = F.when(mean.between(2.5, 12.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(mean - 6) / 10))
-    score = 0.15 * _share(letters(t), solid) + 0.25 * _share(F.size(words), F.size(tokens)) + 0.40 * F.least(F.lit(1.0), 3 * _share(common, F.size(words))) + 0.10 * (1 - F.when(F.size(lines) > 0, noisy / F.size(lines)).otherwise(1.0)) + 0.10 * length
-    return F.when(solid == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4))
+    solid = lambda x: F.char_length(F.regexp_replace(x, r"\s+", ""))
+    lines = F.transform(F.filter(F.split(t, r"\r\n|\r|\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(letters(x).alias("a"), solid(x).alias("n")))
+    read = F.struct(lines.alias("lines"), F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)).alias("words"), F.regexp_count(t, F.lit(r"\S+")).alias("tokens"))
+
+    def score(r: Column) -> Column:
+        total = lambda f: F.aggregate(r["lines"], F.lit(0), lambda s, x: s + x[f])
+        n_lines, n_words = F.size(r["lines"]), F.size(r["words"])
+        noisy = F.size(F.filter(r["lines"], lambda x: x["a"] < 0.5 * x["n"]))
+        common = F.size(F.filter(r["words"], lambda w: F.lower(w).isin(COMMON_WORDS)))
+        mean = _share(total("n"), r["tokens"])
+        length = F.when(mean.between(2.5, 12.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(mean - 6) / 10))
+        s = 0.15 * _share(total("a"), total("n")) + 0.25 * _share(n_words, r["tokens"]) + 0.40 * F.least(F.lit(1.0), 3 * _share(common, n_words)) + 0.10 * (1 - F.when(n_lines > 0, noisy / n_lines).otherwise(1.0)) + 0.10 * length
+        return F.when(r["tokens"] == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)), 4))
+
+    return F.transform(F.array(read), score)[0]  # the text is taken apart once
 
 
 # What headings and lines of front and back matter look like.
