@@ -20,9 +20,10 @@ def connected(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = pairs.union(pairs.select(F.col("root").alias("v"), F.col("v").alias("root")))
-        least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # grouped by a struct, so that the joins deal both sides anew and may split a vertex
+        least = both.groupBy(F.struct("v").alias("k")).agg(F.min("root").alias("m")).select("k.v", F.least("k.v", "m").alias("m"))
         large = both.filter(F.col("root") > F.col("v")).join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).distinct()
-        low = large.groupBy("v").agg(F.min("root").alias("m"))
+        low = large.groupBy(F.struct("v").alias("k")).agg(F.min("root").alias("m")).select("k.v", "m")
         joined = large.join(low, "v")
         small = joined.filter(F.col("root") != F.col("m")).select(F.col("root").alias("v"), F.col("m").alias("root")).union(low.select("v", F.col("m").alias("root"))).distinct()
         pairs = checkpointed(small)

@@ -302,7 +302,7 @@ def classes(docs: DataFrame) -> DataFrame:
     several = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(found.join(several, "bucket"))
 
-    of_members = own.select("digest", "doc_id").join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("holder"))
+    of_members = own.groupBy("digest").agg(F.min("doc_id").alias("holder")).join(members.select("digest").distinct(), "digest", "left_semi")
     one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
     texts = checkpointed(own.join(of_members, "digest").filter(one).select("digest", "text").dropDuplicates(["digest"]))
 
