@@ -42,7 +42,9 @@ GRAM = 64
 SLICE = 1 << 18
 SHARD = 1 << 18
 BLOCK = 1 << 20  # bytes of contexts that a task sorts at a time
+HEAVY = 1000
 HOT = 2048  # different contexts of a gram from which it is dealt finer
+ROWS = 500  # texts cut at a time
 FINE = 8  # window starts of one finer class
 
 _COUNT = WINDOW - GRAM + 1  # grams of a window
@@ -227,10 +229,17 @@ def spans(docs: DataFrame) -> DataFrame:
     """digest, runs: the maximal spans [a, b) of bytes to remove of every different text that has any."""
     every = with_digest(docs.select("doc_id", "text"))
     own = every.filter(F.octet_length("text") >= WINDOW)
-    twice = own.select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
+    twice = checkpointed(own.select("text").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"))
+    # a gram with over a thousandth of all is dealt to as many tasks as thousandths: at most HEAVY grams, so they may be broadcast
+    total = twice.agg(F.sum("n").alias("total"))
+    heavy = F.broadcast(twice.crossJoin(F.broadcast(total)).filter(F.col("n") * HEAVY > F.col("total")).select("gram", F.ceil(F.col("n") * HEAVY / F.col("total")).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    wanted = twice.join(heavy, "gram", "left").select("gram", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     found = own.select("digest", "text").mapInArrow(_contexts, "digest binary, gram long, context long, start long, lead long, count long")
-    # one row for each context of a different text, with the rows that have it
-    contexts = checkpointed(found.join(twice, "gram", "left_semi").groupBy("digest", "gram", "context", "start", "lead", "count").agg(F.count("*").alias("n")))
+    found = found.join(heavy, "gram", "left").withColumn("salt", F.pmod(F.xxhash64("digest", "start", F.spark_partition_id()), salts).cast("int"))
+    # one row for each context of a different text (and salt), with the rows that have it
+    contexts = found.join(wanted, ["gram", "salt"], "left_semi").groupBy("digest", "gram", "salt", "context", "start", "lead", "count").agg(F.count("*").alias("n"))
+    contexts = checkpointed(contexts.drop("salt"))
     kinds = contexts.groupBy("gram", "context", "lead", "count").agg(F.sum("n").alias("n"), F.min(F.struct("digest", "start")).alias("at"))
     hot = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT).select("gram", F.lit(True).alias("hot"))
     kinds = kinds.join(hot, "gram", "left")
@@ -241,24 +250,31 @@ def spans(docs: DataFrame) -> DataFrame:
     one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
     cut = every.join(wanted.join(holders, "digest"), "digest").filter(one).select("text", "wanted").mapInArrow(_cut, "route long, gram long, context long, n long, first long, count long, bytes binary")
     runs = cut.repartition("route").sortWithinPartitions("route", "gram", "context", "first").mapInArrow(_sorted_shards, "gram long, context long, low long, high long")
-    runs = runs.groupBy("gram", "context").agg(F.collect_list(F.struct("low", "high")).alias("w"))  # of one context
-    per_text = contexts.join(runs, ["gram", "context"]).select("digest", "start", "w").groupBy("digest").agg(F.collect_list(F.struct("start", "w")).alias("r"))
-    return per_text.mapInArrow(_merged, "digest binary, runs array<struct<a:bigint,b:bigint>>")
+    runs = runs.groupBy(F.struct("gram", "context").alias("k")).agg(F.collect_list(F.struct("low", "high")).alias("w")).select("k.*", "w")  # of one context
+    spread = contexts.join(runs, ["gram", "context"]).select("digest", "start", F.explode("w").alias("r"))
+    spans_of = F.struct((F.col("start") + F.col("r.low")).alias("a"), (F.col("start") + F.col("r.high") - 1 + WINDOW).alias("b"))
+    return spread.groupBy("digest").agg(F.collect_list(spans_of).alias("r")).mapInArrow(_merged, "digest binary, runs array<struct<a:bigint,b:bigint>>")  # of one text
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching spans of each text made one."""
     for batch in batches:
-        out = []
-        for r in batch.column("r").to_pylist():
-            pairs = sorted((x["start"] + w["low"], x["start"] + w["high"] - 1 + WINDOW) for x in r for w in x["w"])
-            runs: list[list[int]] = []
-            for a, b in pairs:
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
-                else:
-                    runs.append([a, b])
-            out.append([{"a": a, "b": b} for a, b in runs])
-        yield pa.record_batch([batch.column("digest"), pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["digest", "runs"])
+        own = batch.column("r")
+        n = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat_spans = own.flatten()
+        a, b = (flat_spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("a", "b"))
+        row = np.repeat(np.arange(len(n)), n)
+        far = (int(b.max()) + 2 if len(b) else 1) * row  # texts one after another, never touching
+        order = np.argsort(a + far, kind="stable")
+        a, b, far, row = a[order] + far[order], b[order] + far[order], far[order], row[order]
+        reach = np.maximum.accumulate(b) if len(b) else b
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = a[1:] > reach[:-1]
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(a)) - 1
+        runs = pa.StructArray.from_arrays([pa.array(a[first] - far[first]), pa.array(reach[last] - far[first])], ["a", "b"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(n)))]).astype(np.int32)
+        yield pa.record_batch([batch.column("digest"), pa.ListArray.from_arrays(pa.array(offsets), runs)], ["digest", "runs"])
 
 
 def _without(raw: bytes, runs: list[dict] | None) -> bytes:
@@ -277,7 +293,7 @@ def removed(docs: DataFrame) -> DataFrame:
     joined = with_digest(docs.select("doc_id", "text")).join(spans(docs), "digest", "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             raws = [(t.as_py() or "").encode() for t in batch.column("text")]
             runs = batch.column("runs").to_pylist()
             yield pa.record_batch(
@@ -295,7 +311,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             runs = batch.column("_runs").to_pylist()
             texts = [t if not r else _without(t.encode(), r).decode("utf-8", "ignore") for t, r in zip(batch.column("text").to_pylist(), runs)]
             columns = [batch.column(k) for k in range(len(names))]
