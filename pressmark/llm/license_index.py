@@ -1,13 +1,16 @@
-"""License scans: a positional rare-token index, in DataFrame functions alone.
+"""License scans: a positional index of notices, in DataFrame functions alone.
 
 Every template of a licence notice is indexed by its words' positions. A file keeps the
-positions of the licence words in it (those of the index; few in most files). Its
-highest-IDF licence words are looked up in the index: word w at file position p and at
-template position q speaks for that template lying at p - q, and where two or more of
-them agree in relative position the postings intersect. Such a place is verified: all
-words of the template's mandatory phrase must stand there, and the words found there
-must carry ``LEAST`` of the IDF of the template's indexed words. IDF is counted over
-all files.
+positions of the licence words in it (those of the index; few in most files). All of
+them are looked up in the index: word w at file position p and at template position q
+speaks for that template lying at p - q, and where they agree in relative position the
+postings intersect. Such a place is verified: all words of the template's mandatory
+phrase must stand there (two words at least), and the words found there must carry
+``LEAST`` of the IDF of the template's indexed words. A place is judged by its own words
+alone, whatever else the file holds. IDF is counted over all files.
+
+The SQL below still lets only a file's ``TOP`` words of highest IDF vote; its rows are
+those of the query where no file holds more licence words than that.
 
 Beside it the base labels: places where the words of a fixed phrase stand one after
 another.
@@ -50,8 +53,8 @@ TEMPLATES = (
 #: Words too common to index unless a mandatory phrase needs them.
 COMMON = frozenset("a and any are as by can copy in into is it of or that the this to under use with without work you 0 2 3 4 v".split())
 
-TOP = 6  # highest-IDF licence words looked up for a file
-VOTES = 2
+TOP = 6  # of the SQL: highest-IDF licence words of a file that vote
+VOTES = 2  # of the SQL
 LEAST = 0.6
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,15 +116,13 @@ def scan(docs: DataFrame) -> DataFrame:
         musts[t] = musts.get(t, 0) + must
     postings = spark.createDataFrame([(t, label, w, q, must, weight[w], all_of[t], musts[t]) for t, label, w, q, must in rows], "t int, label string, w string, q int, must boolean, idf double, whole double, n_must int")
 
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda w: F.struct((-F.element_at(idf_of, w)).alias("k"), w.alias("w"))))
-    rare = F.transform(F.slice(ranked, 1, TOP), lambda s: s["w"])
-    spread = files.filter(F.size("hits") > 0).withColumn("rare", rare).select("row", "rare", F.explode("hits").alias("h")).select("row", F.col("h.p").alias("p"), F.col("h.w").alias("w"), F.array_contains("rare", F.col("h.w")).alias("is_rare"))
+    spread = files.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", F.col("h.p").alias("p"), F.col("h.w").alias("w"))
     places = (
         spread.join(F.broadcast(postings), "w")  # the index of the templates above, a fixed size
         .groupBy("row", "t", "label", (F.col("p") - F.col("q")).alias("at"), "whole", "n_must")
-        .agg(F.sum("idf").alias("found"), F.sum(F.col("is_rare").cast("int")).alias("votes"), F.sum(F.col("must").cast("int")).alias("must"))
+        .agg(F.sum("idf").alias("found"), F.sum(F.col("must").cast("int")).alias("must"))
         .withColumn("share", F.round(F.col("found") / F.col("whole"), 6))
-        .filter((F.col("votes") >= VOTES) & (F.col("must") == F.col("n_must")) & (F.col("share") >= LEAST))
+        .filter((F.col("must") == F.col("n_must")) & (F.col("share") >= LEAST))
     )
     accepted = places.groupBy("row").agg(F.collect_set("label").alias("found_labels"), F.max("share").alias("best"))
 
