@@ -28,15 +28,18 @@ def detected(rows: DataFrame, text: str, cited: str, signals: dict[str, list[str
     """One row: the topics of an answer's basis and of what the visitor reads.
 
     upgrade: topic -> (pattern of context, topic in its place); demotes: a topic that the visitor's
-    text is about -> topics that then do not count unless that text names them too.
+    text is about -> topics that then do not count unless that text names them too. A context is
+    looked for in each row and in the visitor's text by itself, so no row's text leaves its task.
     """
-    found = rows.agg(F.array_distinct(F.flatten(F.collect_list(basis_topics(F.col(text), F.col(cited), signals, cited_only)))).alias("t"), F.array_join(F.collect_list(F.col(text)), " ").alias("all"))  # rows of one answer
+    context = lambda c, pattern: without_accents(c).rlike(f"(?i){pattern}")
+    per = rows.select(basis_topics(F.col(text), F.col(cited), signals, cited_only).alias("b"), *[context(F.col(text), p).alias(f"fits_{i}") for i, (p, _) in enumerate(upgrade.values())])
+    found = per.agg(F.array_distinct(F.flatten(F.collect_set("b"))).alias("t"), *[F.coalesce(F.bool_or(f"fits_{i}"), F.lit(False)).alias(f"fits_{i}") for i in range(len(upgrade))])  # as many lists as the signals allow
     own = topics(user_text, signals)
     every = F.array_union("t", own)
     for topic, dropped in demotes.items():
         every = F.when(F.array_contains(own, topic), F.filter(every, lambda x: ~x.isin(*dropped) | F.array_contains(own, x))).otherwise(every)
-    for topic, (context, better) in upgrade.items():
-        fits = without_accents(F.concat_ws(" ", "all", user_text)).rlike(f"(?i){context}")
+    for i, (topic, (pattern, better)) in enumerate(upgrade.items()):
+        fits = F.col(f"fits_{i}") | context(user_text, pattern)
         every = F.transform(every, lambda x: F.when((x == topic) & fits, better).otherwise(x))
     return found.select(F.array_sort(every).alias("topics"))
 

@@ -26,7 +26,7 @@ def flt8(t):
 
 @query("flt13_evidence_rows", "SELECT doc_id AS passage_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1990 + doc_id % 9 END AS year, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 300) AS snippet, doc_id % 5 = 0 AS cited FROM documents WHERE doc_id < 60")
 def flt13(t):
-    hits = t.documents.filter("doc_id < 60").select(F.col("doc_id").alias("passage_id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 9 + 1990).alias("year"), "text", (F.col("doc_id") % 5 == 0).alias("cited"))
+    hits = t.documents.select(F.col("doc_id").alias("passage_id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 9 + 1990).alias("year"), "text", (F.col("doc_id") % 5 == 0).alias("cited"))
     return C.ascending_evidence(hits, T.snippet("text")).select("passage_id", "year", "snippet", "cited")
 
 
@@ -213,7 +213,7 @@ def sc34(t):
     from pressmark.operators.matching import near_words
 
     words = lambda rows: rows.select(F.explode(T.tokens("text")).alias("w")).distinct()
-    return near_words(words(t.benchmark.filter("item_id < 4")).filter(F.char_length("w") >= 4), words(t.benchmark.filter("item_id between 4 and 7")))
+    return near_words(words(t.benchmark).filter(F.char_length("w") >= 4), words(t.benchmark))
 
 
 @query("sc37_care_topics", "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(strip_accents(coalesce(text, '')), '(?i){'|'.join(p)}') THEN '{k}' END" for k, p in SIGNALS.items()) + "], lambda x: x IS NOT NULL) AS topics FROM documents")
@@ -223,7 +223,7 @@ def sc37(t):
 
 @query("sc38_care_detection", None)
 def sc38(t):
-    rows = t.documents.filter("doc_id < 200").select("text", (F.col("doc_id") % 2 == 0).alias("cited"))
+    rows = t.documents.select("text", (F.col("doc_id") % 2 == 0).alias("cited"))
     return C.detected(rows, "text", "cited", SIGNALS, ("worth",), F.lit("an idiot asks"), {"scorn": (r"\bthe\b", "scorn-upgraded")}, {"scorn": ("the",)})
 
 
