@@ -14,7 +14,7 @@ part("judged_drafts", """judged_drafts AS (SELECT answer, pos, text, passage, CA
 
 
 def _drafts(t):
-    c = t.conversations.filter("conv_id < 60").select(F.col("conv_id").alias("answer"), F.col("turn").alias("pos"))
+    c = t.conversations.select(F.col("conv_id").alias("answer"), F.col("turn").alias("pos"))
     sentences = c.select("answer", "pos", F.concat(F.lit("In "), (F.col("answer") % 7 + 1990).cast("string"), F.lit(" x")).alias("text"))
     cites = c.filter("pos % 3 <> 0").select("answer", "pos", F.when(F.col("pos") % 5 == 4, -1).otherwise(F.col("answer")).alias("passage_id"))
     evidence = c.select("answer").distinct().select("answer", F.col("answer").alias("passage_id"), F.concat(F.lit("i"), F.col("answer").cast("string")).alias("item_id"), F.lit(1990).alias("year"), F.lit("1991 to 1993; 1992").alias("text"))
