@@ -80,7 +80,7 @@ def jn12(t):
 def jn13(t):
     k = F.col("o_orderkey")
     nums = F.array_distinct(F.array(*[(k * a % b).cast("string") for a, b in ((7, 97), (11, 89), (13, 83), (17, 79))]))
-    pages = t.orders.filter("o_orderkey % 3 = 0").select(
+    pages = t.orders.select(
         F.concat(F.lit("o"), k.cast("string")).alias("page_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("item_id"), F.col("o_orderpriority").alias("jurisdiction"), F.year("o_orderdate").alias("year"), nums.alias("numbers")
     )
     return M.partners(pages, 3, 2)
