@@ -467,7 +467,7 @@ def mx103(t):
 
 @query("mx109_citation", "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 10 = 0 AND o_orderstatus IS NOT NULL")
 def mx109(t):
-    rows = t.lineitem.filter("l_orderkey % 10 = 0").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey", "left")
+    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey", "left")
     return rows.filter("o_orderstatus is not null").select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
