@@ -12,14 +12,14 @@ texts together, m / (n - m); 0.8 or more is a link. The alignment is a longest c
 subsequence inside the band of offsets that a link can have, bit-parallel.
 
 Buckets are never paired out. Every bucket compares its leader, the member that shares
-most buckets with others, with its other members, and links join classes. Members of one
-leader that are still in different classes are then compared in blocks: a product of
-their shingle tables gives how many every two have in common, which rules out all that
-cannot be links, and the rest are aligned unless they have become one class meanwhile.
-Only links leave a block, fewer than it has members. A leader with many members is dealt
-to several blocks by hash, and every two of its blocks meet in a task of their own; only
-these copies grow with the square of a group, by the number of its blocks. Copies of one
-text are one row throughout.
+most buckets with others, with its other members, and links join classes. Where a leader's
+members are still of several classes, the outsiders, those outside its largest class, are
+compared with all its members in blocks: a product of their shingle tables gives how many
+every two have in common, which rules out all that cannot be links, and the rest are
+aligned unless they have become one class meanwhile. Members of the largest class do not
+meet each other, so a group of near copies costs in proportion to its size; only the
+outsiders of a leader grow with their square, divided by the block. Only links leave a
+block, fewer than it has members. Copies of one text are one row throughout.
 
 Defined cases: null and empty texts and those without a word are classes by themselves;
 equal texts with words are one class; repeated rows likewise; a class's id is its least
@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from pressmark.llm import flat
 from pressmark.llm.components import connected
-from pressmark.llm.shared import checkpointed
+from pressmark.llm.shared import checkpointed, unused
 
 K = 5
 SKETCHES = 20
 KEPT = 3
 BLOCK = 256  # members of a leader compared at a time, on either side
+SALT = 256  # members of a bucket, or pairs of a leader, from which they are dealt to several tasks
 BLOCK_CHARS = 1 << 20
 WIDE = 4096
 SIMILARITY = (4, 5)  # a ratio: 4 / 5
@@ -205,7 +206,8 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last is None or last[0] != ta:
                 last = (ta, _shingles_of(ta))
             linked.append(distance(last[1], _shingles_of(tb))[1] is not None)
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+        names = ["a", "salts", "salt", "b", "n"]
+        yield pa.record_batch([*map(batch.column, names), pa.array(linked, pa.bool_())], [*names, "linked"])
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -270,8 +272,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [_shingles_of(r[4]) for r in own]
         sides = np.array([r[3] for r in own]) if own[0][0][1] != own[0][0][2] else None
         found = links_of(plain, [_labelled(h, np.repeat(zero, len(h))) for h in plain], [r[2] for r in own], sides)
-        if found:
-            yield pa.record_batch([pa.array([own[i][1] for i, _ in found], pa.binary()), pa.array([own[j][1] for _, j in found], pa.binary())], ["a", "b"])
+        if found:  # as links of their classes
+            yield pa.record_batch([pa.array([own[k][2] for k in side], pa.binary()) for side in zip(*found)], ["a", "b"])
 
     for batch in batches:
         for a, x, y, b, root, side, text in zip(*(batch.column(c) for c in ("a", "x", "y", "b", "root", "side", "text"))):
@@ -294,6 +296,47 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def stars_of(members: DataFrame) -> DataFrame:
+    """(a, b, n): every member b of a bucket with the bucket's leader a, and the size n of their largest bucket.
+
+    members: bucket, digest, n (members of the bucket). The leader shares most buckets with
+    others. A bucket of over ``SALT`` members is dealt to several tasks.
+    """
+    shares = members.groupBy("digest").agg(F.sum("n").alias("shares"))
+    leaders = members.join(shares, "digest").groupBy("bucket").agg(F.max(F.struct("shares", "digest")).alias("m"), F.max("n").alias("n"))
+    salts = F.ceil(F.col("n") / SALT).cast("int")
+    leaders = leaders.select("bucket", F.col("m.digest").alias("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("digest"), salts).cast("int"))
+    return salted.join(leaders, ["bucket", "salt"]).filter(F.col("digest") != F.col("a")).groupBy("a", F.col("digest").alias("b")).agg(F.max("n").alias("n"))
+
+
+def salted_by_leader(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, n) with a salt: the pairs of a leader with large buckets are dealt to several tasks."""
+    salts = F.ceil(F.col("n") / SALT).cast("int")
+    return pairs.select("a", "b", salts.alias("salts"), F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+
+
+def dealt(known: DataFrame) -> DataFrame:
+    """(a, x, y, b, root, side): the members of every leader that has members of several classes, by tasks.
+
+    known: a, salts, salt, b, root, n (code points). The members of the leader's largest
+    class need no comparing with each other: they meet only the outsiders, the members of
+    other classes, who also meet each other. Outsiders fill the blocks 0.. and the largest
+    class those after them; task (x, y) compares block x with block y. So rows grow with
+    the largest class times the outsiders' blocks, and with the outsiders times all blocks.
+    """
+    per_class = known.groupBy("a", "root").agg(F.count("*").alias("k"), F.sum("n").alias("chars"))
+    per_leader = per_class.groupBy("a").agg(F.max(F.struct("k", "root", "chars")).alias("m"), F.sum("k").alias("k"), F.sum("chars").alias("chars")).filter(F.col("k") > F.col("m.k"))
+    blocks = lambda k, chars: F.ceil(F.greatest(k / BLOCK, chars / BLOCK_CHARS)).cast("int")
+    plan = per_leader.select("a", F.col("m.root").alias("main"), blocks(F.col("m.k"), F.col("m.chars")).alias("inner"), blocks(F.col("k") - F.col("m.k"), F.col("chars") - F.col("m.chars")).alias("outer"))
+    plan = known.select("a", "salts", "salt").distinct().join(plan, "a")
+    outside = F.col("root") != F.col("main")
+    side = F.when(outside, F.pmod(F.xxhash64("b"), "outer")).otherwise(F.col("outer") + F.pmod(F.xxhash64("b"), "inner")).cast("int")
+    others = F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    rows = known.join(plan, ["a", "salts", "salt"]).select("a", "b", "root", side.alias("side"), F.explode(others).alias("other"))
+    return rows.select("a", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "b", "root", "side")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """digest, root: the class (its least digest) of every text that is linked to another text."""
     text = F.coalesce("text", F.lit(""))
@@ -304,35 +347,23 @@ def classes(docs: DataFrame) -> DataFrame:
 
     of_members = own.groupBy("digest").agg(F.min("doc_id").alias("holder")).join(members.select("digest").distinct(), "digest", "left_semi")
     one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
-    texts = checkpointed(own.join(of_members, "digest").filter(one).select("digest", "text").dropDuplicates(["digest"]))
+    texts = own.join(of_members, "digest").filter(one).select("digest", "text").dropDuplicates(["digest"])
+    texts = checkpointed(texts.select("digest", "text", F.char_length("text").alias("chars")))
 
-    def paired(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their texts, those of one a together where partitions allow."""
-        return pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        return checkpointed(paired(pairs).select("a", "b", "ta", "tb").mapInArrow(_aligned, "a binary, b binary, linked boolean"))
-
-    # the leader of a bucket shares most buckets with others
-    shares = members.groupBy("digest").agg(F.sum("n").alias("shares"))
-    leaders = members.join(shares, "digest").groupBy("bucket").agg(F.max(F.struct("shares", "digest")).alias("m")).select("bucket", F.col("m.digest").alias("a"))
-    stars = members.join(leaders, "bucket").filter(F.col("digest") != F.col("a")).select("a", F.col("digest").alias("b")).distinct()
-    tested = compared(stars)
-    links = tested.filter("linked").select("a", "b")
-    roots = connected(links)
+    # a leader's text goes once to every task that has pairs of it
+    stars = checkpointed(salted_by_leader(stars_of(members)))
+    led = stars.select("a", "salts", "salt").distinct().join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
+    paired = stars.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"), F.col("chars").alias("n")), "b").join(led, ["a", "salts", "salt"])
+    tested = checkpointed(paired.select("a", "salts", "salt", "b", "n", "ta", "tb").mapInArrow(_aligned, "a binary, salts int, salt int, b binary, n int, linked boolean"))
+    roots = connected(tested.filter("linked").select("a", "b"))
 
-    # leaders with members in several classes; a single member has no other to be linked with
     known = tested.join(roots.withColumnRenamed("v", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    known = known.join(texts.select(F.col("digest").alias("b"), F.char_length("text").alias("n")), "b")
-    mixed = known.groupBy("a").agg(F.count("*").alias("k"), F.count_if("linked").alias("l"), F.sum("n").alias("n")).filter("k > 1 and l < k")
-    mixed = mixed.select("a", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    # member of block s: in the tasks (x, s) and (s, y)
-    side = F.pmod(F.xxhash64("b"), "blocks").cast("int")
-    dealt = known.join(mixed, "a").select("a", "b", "root", "blocks", side.alias("side"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "b", "root", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    dealt = dealt.join(texts.select(F.col("digest").alias("b"), "text"), "b").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "b")
-    more = dealt.select("a", "x", "y", "b", "root", "side", "text").mapInArrow(_blocks, "a binary, b binary")
-    return connected(links.union(more)).withColumnRenamed("v", "digest")
+    blocks = dealt(known).join(texts.select(F.col("digest").alias("b"), "text"), "b").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "b")
+    more = blocks.select("a", "x", "y", "b", "root", "side", "text").mapInArrow(_blocks, "a binary, b binary")
+    # links between classes: their components join the classes
+    joined = connected(more).toDF("root", "above")
+    every = roots.withColumnRenamed("v", "digest").unionByName(joined.select(F.col("root").alias("digest"), "root"))
+    return every.join(joined, "root", "left").select("digest", F.coalesce("above", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -348,12 +379,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """One row of docs, all columns, for each class: the one with the least doc_id (of equal rows any one)."""
     text = F.coalesce("text", F.lit(""))
-    names = docs.columns
-    stays = near_duplicates(docs).filter(F.col("some") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumn("_digest", F.unhex(F.md5(text)))
+    digest, holder = unused(docs, "text_digest"), unused(docs, "held_by")
+    stays = near_duplicates(docs).filter(F.col("some") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("doc_id").alias(holder), F.col("digest").alias(digest)).distinct()
+    keyed = docs.withColumn(digest, F.unhex(F.md5(text)))
     some = F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]"))
-    chosen = keyed.filter(some).alias("d").join(stays.alias("s"), (F.col("d._digest") == F.col("s._digest")) & F.col("d.doc_id").eqNullSafe(F.col("s._id"))).select("d.*").dropDuplicates(["_digest", "doc_id"])
-    return chosen.select(*names).unionByName(docs.filter(~some))
+    chosen = keyed.filter(some).alias("d").join(stays.alias("s"), (F.col(f"d.{digest}") == F.col(f"s.{digest}")) & F.col("d.doc_id").eqNullSafe(F.col(f"s.{holder}"))).select("d.*").dropDuplicates([digest, "doc_id"])
+    return chosen.select(*docs.columns).unionByName(docs.filter(~some))
 
 
 def op8_order_minhash(spark, sf_dir: str) -> DataFrame:

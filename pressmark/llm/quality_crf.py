@@ -13,7 +13,8 @@ held out; columns other than the id and the text are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pressmark.llm import chain_crf, flat
 
 TRAIN_DOCS = 6000  # at most so many labelled documents fit the model
+TRAIN_BYTES = 1 << 16  # longer documents are not learned from
+TRAIN_LINES = 100_000  # nor lines beyond so many
 FOLDS, HELD_OUT = 3, 1
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _POINT, _HIGH, _BANG, _BAR = (np.zeros(256, bool) for _ in range(8))
@@ -86,34 +89,60 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return x, n, chars
 
 
-def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, data, offs in flat.slices(batch.column("text")):
-            x, n, _ = line_features(data, offs)
-            ends = np.cumsum(n)
-            yield pa.record_batch(
-                [batch.column("doc_id").slice(i, j - i), batch.column("quality").slice(i, j - i), pa.array([x[b - k : b].astype(np.float32).tobytes() for b, k in zip(ends, n)], pa.binary()), pa.array(n, pa.int64())],
-                ["doc_id", "quality", "x", "n"],
-            )
+def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> DataFrame:
+    """(place, text, quality) of at most ``limit`` labelled documents outside the held-out fold, of at most ``longest`` bytes each.
 
-
-def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, text, quality) of at most ``limit`` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    They are chosen by a hash of the id, and place is their order by it; of rows that share an id that with the least text counts.
+    """
     ids = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # limit bounds the broadcast
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= longest).join(F.broadcast(ids), "doc_id")  # limit bounds the broadcast
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.struct(F.xxhash64("doc_id"), F.col("doc_id").cast("string")).alias("place"), "text", "quality")
+
+
+def fitted(rows: DataFrame, features: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], train: Callable[[np.ndarray, np.ndarray, np.ndarray], object], most: int = TRAIN_LINES) -> object:
+    """train(x, y, n) run in one task over the rows of ``labelled``, in their order, whose count is bounded.
+
+    features(bytes, offsets) gives the feature rows of some texts and how many each has; the
+    first texts with at most ``most`` feature rows together are used. The driver receives the
+    model alone.
+    """
+
+    def nothing() -> object:
+        return train(features(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0], np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys, ns, left = [], [], [], most
+        for batch in batches:
+            for i, j, data, offs in flat.slices(batch.column("text")):
+                x, n = features(data, offs)
+                fits = int(np.searchsorted(np.cumsum(n), left, "right")) if left else 0
+                rows = int(n[:fits].sum())
+                left = left - rows if fits == j - i else 0
+                xs.append(x[:rows])
+                ys.append(batch.column("quality").slice(i, fits).to_numpy().astype(np.int64))
+                ns.append(n[:fits])
+        model = train(np.concatenate(xs), np.concatenate(ys), np.concatenate(ns)) if xs else nothing()
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("place").select("text", "quality").mapInArrow(run, "model binary")
+    found = one.first()
+    return pickle.loads(found["model"]) if found else nothing()
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, l2: float = 4.0) -> chain_crf.ChainCRF:
-    """Fits the field on at most ``limit`` labelled documents; without any, every score is 0.5."""
-    rows = labelled(docs, labels, limit).mapInArrow(_training_rows, "doc_id long, quality int, x binary, n long").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
-    n = rows.column("n").to_numpy()
-    width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
-    if not len(n):
-        return chain_crf.ChainCRF(np.zeros((width, 2)), np.zeros((2, 2)))
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
-    y = np.repeat(rows.column("quality").to_numpy().astype(np.int64), n)
-    return chain_crf.fit(x, y, n, l2=l2)
+    """Fits the field on at most ``limit`` labelled documents and ``TRAIN_LINES`` lines; without any, every score is 0.5."""
+
+    def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return line_features(data, offs)[:2]
+
+    def train(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> chain_crf.ChainCRF:
+        if not len(n):
+            width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
+            return chain_crf.ChainCRF(np.zeros((width, 2)), np.zeros((2, 2)))
+        return chain_crf.fit(x, np.repeat(y, n), n, l2=l2)
+
+    return fitted(labelled(docs, labels, limit), features, train)
 
 
 def scores(model: chain_crf.ChainCRF, column: pa.Array) -> np.ndarray:

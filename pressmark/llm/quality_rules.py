@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pressmark.llm import flat, gbdt
-from pressmark.llm.quality_crf import TRAIN_DOCS, labelled
+from pressmark.llm.quality_crf import TRAIN_DOCS, fitted, labelled
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -114,15 +114,14 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> gbdt.Forest:
     """Fits the trees on at most ``limit`` labelled documents; without any, every document passes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offs in flat.slices(batch.column("text")):
-                x = statistics(data, offs)[1]
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("quality").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+    def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = statistics(data, offs)[1]
+        return x, np.ones(len(x), np.int64)
+
+    def train(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> gbdt.Forest:
+        return gbdt.fit(x.reshape(-1, len(FEATURES)), y.astype(float), np.array(list(FEATURES.values())))
 
-    rows = labelled(docs, labels, limit).mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return gbdt.fit(x, rows["quality"].to_numpy(float), np.array(list(FEATURES.values())))
+    return fitted(labelled(docs, labels, limit), features, train)
 
 
 def verdicts(model: gbdt.Forest, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

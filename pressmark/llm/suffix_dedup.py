@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmark.llm import flat
-from pressmark.llm.shared import checkpointed
+from pressmark.llm.shared import checkpointed, unused
 from pressmark.llm.suffix_array import PART, common_prefixes, search, spread, suffix_array, words8
 
 WINDOW = 200
@@ -306,13 +306,14 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the repeated bytes cut from the text; n_chars, where there is one, counts what is left."""
-    names = docs.columns
-    joined = docs.withColumn("_digest", F.coalesce(F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(b""))).join(spans(docs).select(F.col("digest").alias("_digest"), F.col("runs").alias("_runs")), "_digest", "left").select(*names, "_runs")
+    names, digest, spans_at = docs.columns, unused(docs, "text_digest"), unused(docs, "spans_cut")
+    keyed = docs.withColumn(digest, F.coalesce(F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(b"")))
+    joined = keyed.join(spans(docs).select(F.col("digest").alias(digest), F.col("runs").alias(spans_at)), digest, "left").select(*names, spans_at)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            runs = batch.column("_runs").to_pylist()
+            runs = batch.column(spans_at).to_pylist()
             texts = [t if not r else _without(t.encode(), r).decode("utf-8", "ignore") for t, r in zip(batch.column("text").to_pylist(), runs)]
             columns = [batch.column(k) for k in range(len(names))]
             columns[at] = pa.array(texts, pa.string())

@@ -112,3 +112,52 @@ def test_empty_repeated_and_components(spark, tmp_path):
     assert N.keep(docs(spark, ["same words", "same words", "same words", None], [4, 4, None, 7])).count() == 2
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "a int, b int")
     assert {(x.v, x.root) for x in connected(chain).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100), (102, 100)}
+
+
+def dealt_rows(spark, inside, outside):
+    rows = [("lead", 1, 0, f"m{i}", "core", 10) for i in range(inside)] + [("lead", 1, 0, f"o{i}", f"o{i}", 10) for i in range(outside)]
+    rows += [("calm", 1, 0, f"c{i}", "one", 10) for i in range(50)]
+    return N.dealt(spark.createDataFrame(rows, "a string, salts int, salt int, b string, root string, n int")).collect()
+
+
+def test_dealing_is_linear_in_the_largest_class(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    counts = [len(dealt_rows(spark, n, 3)) for n in (100, 200, 400)]
+    assert counts[1] <= 2 * counts[0] and counts[2] <= 2 * counts[1] and counts[0] < 130
+    rows = dealt_rows(spark, 40, 40)
+    assert {r.a for r in rows} == {"lead"}
+    met = set()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault((r.x, r.y), []).append(r)
+    for (x, y), own in tasks.items():
+        assert len(own) <= 4 * 16
+        for p in own:
+            for q in own:
+                if p.b < q.b and (x == y or p.side != q.side):
+                    assert (p.b, q.b) not in met
+                    met.add((p.b, q.b))
+    core, out = [f"m{i}" for i in range(40)], [f"o{i}" for i in range(40)]
+    assert met == {tuple(sorted((p, q))) for p in out for q in core + out if p != q}
+
+
+def test_components_over_shuffles_are_those_of_one_task(spark):
+    r = random.Random(9)
+    edges = [(f"v{r.randrange(300):03d}", f"v{r.randrange(300):03d}") for _ in range(220)] + [(f"hub{i % 3}", f"leaf{i}") for i in range(60)] + [(None, "v001")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    one, many = ({(x.v, x.root) for x in connected(df, small).collect()} for small in (1 << 20, 0))
+    assert one == many and len(one) > 100
+    assert connected(df.limit(0), 0).count() == 0 and connected(df.limit(0)).count() == 0
+
+
+def test_columns_of_the_same_names_stay(spark):
+    from pyspark.sql import functions as F
+
+    from pressmark.llm import suffix_dedup
+
+    own = docs(spark, [prose(80, 1), prose(80, 1), prose(80, 2), None]).withColumns({c: F.lit("mine") for c in ("_digest", "_runs", "digest", "runs", "_id", "text_digest", "held_by", "spans_cut")})
+    for f, n in ((N.keep, 3), (suffix_dedup.cleaned, 4)):
+        out = f(own)
+        assert out.columns == own.columns
+        rows = out.collect()
+        assert len(rows) == n and all(x[c] == "mine" for x in rows for c in ("_digest", "_runs", "digest", "text_digest", "held_by", "spans_cut"))
