@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pressmark.llm import bpe_tree, order_minhash, packing, quality_crf, quality_rules, suffix_dedup
+from pressmark.llm.shared import shared_folder
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -52,11 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written to the shared folder as Parquet and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order, each written to the shared folder as Parquet and read again; a stage's input goes when its output is there."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
+        path = f"{folder}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(before)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        before = path
     return docs
