@@ -45,6 +45,7 @@ KEPT = 3
 BLOCK = 256  # members of a leader compared at a time, on either side
 SALT = 256  # members of a bucket, or pairs of a leader, from which they are dealt to several tasks
 BLOCK_CHARS = 1 << 20
+HEAVY = 1000
 WIDE = 4096
 SIMILARITY = (4, 5)  # a ratio: 4 / 5
 
@@ -345,9 +346,10 @@ def classes(docs: DataFrame) -> DataFrame:
     several = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(found.join(several, "bucket"))
 
-    of_members = own.groupBy("digest").agg(F.min("doc_id").alias("holder")).join(members.select("digest").distinct(), "digest", "left_semi")
-    one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
-    texts = own.join(of_members, "digest").filter(one).select("digest", "text").dropDuplicates(["digest"])
+    # one row of each text, the one with the least id; met by the id's hash too, so that copies of a text are dealt out
+    held = F.xxhash64("doc_id").alias("held")
+    holders = own.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(members.select("digest").distinct(), "digest", "left_semi").select("digest", held)
+    texts = own.select("digest", "text", held).join(holders, ["digest", "held"]).dropDuplicates(["digest", "held"])
     texts = checkpointed(texts.select("digest", "text", F.char_length("text").alias("chars")))
 
     # a leader's text goes once to every task that has pairs of it
@@ -366,21 +368,42 @@ def classes(docs: DataFrame) -> DataFrame:
     return every.join(joined, "root", "left").select("digest", F.coalesce("above", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), digest and class_digest of every row of docs."""
+def _words(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, and whether there is a word in it, of every row."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")).alias("some"))
-    per_text = rows.filter("some").groupBy("digest").agg(F.min("doc_id").alias("least")).join(classes(docs), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    per_class = per_text.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("m"))
-    of_text = per_text.join(per_class, "root").select("digest", F.col("m.least").alias("class_id"), F.col("m.digest").alias("class_digest"))
-    return rows.join(of_text, "digest", "left").select("doc_id", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "digest", F.coalesce("class_digest", "digest").alias("class_digest"), "some")
+    return docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")).alias("some"))
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """digest, least (doc_id), copies, root of every text with a word."""
+    per_text = _words(docs).filter("some").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    return per_text.join(classes(docs), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def _first(per_text: DataFrame) -> DataFrame:
+    """root, m (least, digest): the text of each class that has the least id."""
+    return per_text.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("m"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its class) of every row of docs."""
+    per_text = checkpointed(_rooted(docs))
+    of_text = per_text.join(_first(per_text), "root").select("digest", "copies", F.col("m.least").alias("class_id"))
+    # a text with over a thousandth of all rows is dealt to as many tasks as thousandths: at most HEAVY texts, so they may be broadcast
+    total = per_text.agg(F.sum("copies").alias("total"))
+    salts = F.ceil(F.col("copies") * HEAVY / F.col("total")).cast("int")
+    of_text = of_text.crossJoin(F.broadcast(total)).withColumn("salts", salts)
+    heavy = F.broadcast(of_text.filter("salts > 1").select("digest", "salts"))
+    rows = _words(docs).join(heavy, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    of_text = of_text.select("digest", "class_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return rows.join(of_text, ["digest", "salt"], "left").select("doc_id", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One row of docs, all columns, for each class: the one with the least doc_id (of equal rows any one)."""
     text = F.coalesce("text", F.lit(""))
     digest, holder = unused(docs, "text_digest"), unused(docs, "held_by")
-    stays = near_duplicates(docs).filter(F.col("some") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("doc_id").alias(holder), F.col("digest").alias(digest)).distinct()
+    stays = _first(_rooted(docs)).select(F.col("m.least").alias(holder), F.col("m.digest").alias(digest))
     keyed = docs.withColumn(digest, F.unhex(F.md5(text)))
     some = F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]"))
     chosen = keyed.filter(some).alias("d").join(stays.alias("s"), (F.col(f"d.{digest}") == F.col(f"s.{digest}")) & F.col("d.doc_id").eqNullSafe(F.col(f"s.{holder}"))).select("d.*").dropDuplicates([digest, "doc_id"])
