@@ -9,9 +9,6 @@ phrase must stand there (two words at least), and the words found there must car
 ``LEAST`` of the IDF of the template's indexed words. A place is judged by its own words
 alone, whatever else the file holds. IDF is counted over all files.
 
-The SQL below still lets only a file's ``TOP`` words of highest IDF vote; its rows are
-those of the query where no file holds more licence words than that.
-
 Beside it the base labels: places where the words of a fixed phrase stand one after
 another.
 
@@ -49,12 +46,17 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "writing software distributed"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "promote products derived"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "damages arising"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "neighboring rights"),
 )
 #: Words too common to index unless a mandatory phrase needs them.
-COMMON = frozenset("a and any are as by can copy in into is it of or that the this to under use with without work you 0 2 3 4 v".split())
+COMMON = frozenset("a all an and any are as be by can copy for from has in into is it its may name names no nor of on or that the this to under use used will with without work you 0 1 2 3 4 v".split())
 
-TOP = 6  # of the SQL: highest-IDF licence words of a file that vote
-VOTES = 2  # of the SQL
 LEAST = 0.6
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,13 +161,12 @@ vocab(w) AS (VALUES {vocab}),
 idx(t, label, w, q, must) AS (VALUES {entries}),
 hits AS (SELECT rid, i - 1 AS p, w FROM (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs) JOIN vocab USING (w)),
 idf AS (SELECT w, round(ln((SELECT count(*) + 1 FROM docs)::DOUBLE / (count(DISTINCT rid) + 1)) + 1, 6) AS idf FROM vocab LEFT JOIN hits USING (w) GROUP BY w),
-rare AS (SELECT rid, w FROM (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, w) AS k FROM (SELECT DISTINCT rid, w FROM hits) JOIN idf USING (w)) WHERE k <= {TOP}),
 whole AS (SELECT t, sum(idf) AS whole, sum(must) AS n_must FROM idx JOIN idf USING (w) GROUP BY t),
 places AS (
   SELECT h.rid, x.t, x.label, h.p - x.q AS at, round(sum(i.idf) / any_value(o.whole), 6) AS share
-  FROM hits h JOIN idx x ON x.w = h.w JOIN idf i ON i.w = h.w JOIN whole o ON o.t = x.t LEFT JOIN rare r ON r.rid = h.rid AND r.w = h.w
+  FROM hits h JOIN idx x ON x.w = h.w JOIN idf i ON i.w = h.w JOIN whole o ON o.t = x.t
   GROUP BY h.rid, x.t, x.label, h.p - x.q
-  HAVING count(r.w) >= {VOTES} AND sum(x.must) = any_value(o.n_must) AND round(sum(i.idf) / any_value(o.whole), 6) >= {LEAST}),
+  HAVING sum(x.must) = any_value(o.n_must) AND round(sum(i.idf) / any_value(o.whole), 6) >= {LEAST}),
 base AS ({" UNION ALL ".join(base)}),
 per_base AS (SELECT rid, count(*) AS n, min(p) AS lo, max(p) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY rid),
 per_place AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS best FROM places GROUP BY rid)
