@@ -9,7 +9,7 @@ from pressmark.operators import retrieval as S
 from pressmark.plans.registry import part, query
 from pressmark.plans.retrieval import _dense, _lexical
 
-part("drafts", "drafts AS (SELECT conv_id AS answer, turn AS pos, 'In ' || (1990 + conv_id % 7)::VARCHAR || ' x' AS text, turn % 3 <> 0 AS cites, CASE WHEN turn % 5 = 4 THEN -1 ELSE conv_id END AS passage FROM conversations WHERE conv_id < 60)")
+part("drafts", "drafts AS (SELECT conv_id AS answer, turn AS pos, 'In ' || (1990 + conv_id % 7)::VARCHAR || ' x' AS text, turn % 3 <> 0 AS cites, CASE WHEN turn % 5 = 4 THEN -1 ELSE conv_id END AS passage FROM conversations)")
 part("judged_drafts", """judged_drafts AS (SELECT answer, pos, text, passage, CASE WHEN NOT cites THEN 'no citation' WHEN passage = -1 THEN 'citation failed' WHEN answer % 7 NOT IN (0, 1, 2, 3) THEN 'names a year that is not cited' END AS reason FROM @drafts)""")
 
 

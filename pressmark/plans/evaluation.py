@@ -184,7 +184,7 @@ def mx37(t):
     return pairs.select("item", F.coalesce("c", "a").alias("final"))
 
 
-@query("mx40_pairwise_jaccard", """SELECT a.lang AS a, b.lang AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM (SELECT lang, list(DISTINCT source) AS s FROM documents WHERE doc_id % 5 = 0 GROUP BY lang) a JOIN (SELECT lang, list(DISTINCT source) AS s FROM documents WHERE doc_id % 5 = 0 GROUP BY lang) b ON a.lang < b.lang""")
+@query("mx40_pairwise_jaccard", """SELECT a.lang AS a, b.lang AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM (SELECT lang, list(DISTINCT source) AS s FROM documents GROUP BY lang) a JOIN (SELECT lang, list(DISTINCT source) AS s FROM documents GROUP BY lang) b ON a.lang < b.lang""")
 def mx40(t):
     sets = t.documents.groupBy("lang").agg(F.collect_set("source").alias("s"))
     x, y = sets.select(F.col("lang").alias("a"), F.col("s").alias("sa")), sets.select(F.col("lang").alias("b"), F.col("s").alias("sb"))

@@ -257,7 +257,10 @@ def mx101(t):
     return t.benchmark.select("item_id", T.clean_question("text", 60).alias("question"))
 
 
-@query("mx12_register_digest", "SELECT sha256(string_agg(o_orderkey::VARCHAR || o_orderstatus, ',' ORDER BY o_orderkey::VARCHAR || o_orderstatus)) AS digest FROM orders WHERE o_orderkey < 300")
+@query("mx12_register_digest", """WITH lines AS (SELECT o_orderkey // 1000 AS chunk, '{"o_orderkey":' || o_orderkey::VARCHAR || ',"o_orderstatus":"' || o_orderstatus || '","n":' || count(*)::VARCHAR || '}' AS x FROM orders GROUP BY o_orderkey, o_orderstatus),
+ low AS (SELECT chunk // 1000 AS chunk, chunk::VARCHAR || ' ' || sha256(string_agg(x, ',' ORDER BY x)) AS x FROM lines GROUP BY lines.chunk),
+ high AS (SELECT chunk::VARCHAR || ' ' || sha256(string_agg(x, ',' ORDER BY x)) AS x FROM low GROUP BY low.chunk)
+ SELECT sha256(string_agg(x, ',' ORDER BY x)) AS digest FROM high""")
 def mx12(t):
     # equal rows are one row with its count, then a thousand keys are one row, and a thousand of those: no task holds the register
     rows = t.orders.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"))
