@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,27 +13,29 @@ def plan_shards(docs: DataFrame, target: float, pool_below: float) -> DataFrame:
     """item_id, shard: documents of a place in order of year filled into shards of about ``target``.
 
     docs: item_id, place, year, size. Places smaller than ``pool_below`` together are "other".
-    A running total that starts anew is a fold, so each place is one task's pass over sorted
-    rows; what is held is the place's ids, years and sizes.
+    A running total that starts anew is a fold: each place's rows pass one task in order,
+    which holds a running total and the names given so far, one for each year of a place.
     """
     totals = docs.groupBy("place").agg(F.sum("size").alias("_t"))
     pooled = docs.join(totals, "place").withColumn("place", F.when(F.col("_t") < pool_below, "other").otherwise(F.col("place"))).drop("_t")
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["year", "item_id"], na_position="last", kind="stable")
-        names, seen = [], {}
-        filled, name, group = 0.0, None, None
-        dated = rows["year"].notna()
-        for year, is_dated, size in zip(rows["year"], dated, rows["size"]):
-            if name is None or is_dated != group or filled + size > target:
-                base = f"{rows['place'].iloc[0]}-{int(year)}" if is_dated else f"{rows['place'].iloc[0]}-undated"
-                seen[base] = seen.get(base, 0) + 1
-                name, filled, group = base if seen[base] == 1 else f"{base}-{seen[base]}", 0.0, is_dated
-            names.append(name)
-            filled += size
-        return pd.DataFrame({"item_id": rows["item_id"], "shard": names})
-
-    return pooled.groupBy("place").applyInPandas(fill, "item_id string, shard string")
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, seen, filled, name, group = None, {}, 0.0, None, None
+        for batch in batches:
+            names = []
+            for where, year, size in zip(*(batch.column(c).to_pylist() for c in ("place", "year", "size"))):
+                if where != place or not names and name is None:
+                    place, seen, name = where, {}, None
+                if name is None or (year is not None) != group or filled + size > target:
+                    base = f"{place}-{year}" if year is not None else f"{place}-undated"
+                    seen[base] = seen.get(base, 0) + 1
+                    name, filled, group = base if seen[base] == 1 else f"{base}-{seen[base]}", 0.0, year is not None
+                names.append(name)
+                filled += size
+            yield pa.record_batch([batch.column("item_id"), pa.array(names, pa.string())], ["item_id", "shard"])
+
+    rows = pooled.select("item_id", "place", F.col("year").cast("int").alias("year"), F.col("size").cast("double").alias("size"))
+    return rows.repartition("place").sortWithinPartitions(F.col("place"), F.col("year").asc_nulls_last(), F.col("item_id")).mapInArrow(fill, "item_id string, shard string")
 
 
 def uncovered(spans: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:

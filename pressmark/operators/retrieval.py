@@ -30,10 +30,10 @@ class RetrieveConfig:
     drop_stopwords: bool = True
 
 
-def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """term, key, tf, dl: one row for each different token of a document."""
+def postings(docs: DataFrame, key: str, column: str, only: list[str] | None = None) -> DataFrame:
+    """term, key, tf, dl: one row for each different token of a document, or each that is among ``only`` (the terms of a question)."""
     t = docs.select(key, text.tokens(column).alias("ts"))
-    rows = t.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    rows = t.select(key, F.size("ts").alias("dl"), F.explode("ts" if only is None else F.filter("ts", lambda w: w.isin(only))).alias("term"))
     return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -57,11 +57,27 @@ def bm25_weight(tf: Column, dl: Column, n: Column, tokens: Column, df: Column) -
 def bm25(post: DataFrame, stats: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     """q, key, score of every document with a term of the question. questions: (q, term), a bounded batch."""
     wanted = post.join(F.broadcast(questions.select("term").distinct()), "term", "left_semi")
-    scored = wanted.join(frequencies(wanted), "term").crossJoin(F.broadcast(stats))  # one row
+    scored = wanted.join(F.broadcast(frequencies(wanted)), "term").crossJoin(F.broadcast(stats))  # a row a term of the questions; one row
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("tokens"), F.col("df"))
     return scored.select("term", key, weight.alias("w")).join(F.broadcast(questions), "term").groupBy("q", key).agg(F.sum("w").alias("score"))
 
 
+def write_index(docs: DataFrame, key: str, column: str, path: str, parts: int = 64) -> None:
+    """Keeps postings in order of term over ``parts`` ranges (a common term's are dealt to several), their frequencies, and the collection's size."""
+    post = postings(docs, key, column)
+    post.repartitionByRange(parts, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    frequencies(docs.sparkSession.read.parquet(f"{path}/postings")).sort("term").write.mode("overwrite").parquet(f"{path}/frequencies")
+    collection(docs, column).write.mode("overwrite").parquet(f"{path}/collection")
+
+
+def indexed_bm25(spark, path: str, questions: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """q, key, score from a kept index: only the row groups that hold one of the questions' terms are read."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    found = read("postings").filter(F.col("term").isin(terms)).join(F.broadcast(read("frequencies").filter(F.col("term").isin(terms))), "term").crossJoin(F.broadcast(read("collection")))
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("tokens"), F.col("df"))
+    return found.select("term", key, weight.alias("w")).join(F.broadcast(questions), "term").groupBy("q", key).agg(F.sum("w").alias("score"))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 

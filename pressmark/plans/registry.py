@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressmark.session import shared_folder
 from pressmark.tables import SQL, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +52,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one, for what a query writes and reads again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmark.functions import text as T
 from pressmark.operators import ranking as R
 from pressmark.operators import retrieval as S
-from pressmark.plans.registry import part, query
+from pressmark.plans.registry import part, query, scratch
 
 QUESTION = "What did the report conclude about onheed nteres worthless edha and thinor in 1998?"
 CANDIDATES = S.RetrieveConfig().candidates
@@ -33,8 +33,13 @@ def question_terms(t, text: str = QUESTION, q: str = "q1"):
     return one.select("q", F.explode(T.query_terms("text")).alias("term"))
 
 
+def asked(t, text: str = QUESTION) -> list[str]:
+    """The terms of one question, on the driver."""
+    return [r["term"] for r in question_terms(t, text).select("term").distinct().collect()]
+
+
 def _lexical(t):
-    post = S.postings(t.documents, "doc_id", "text")
+    post = S.postings(t.documents, "doc_id", "text", asked(t))
     return S.bm25(post, S.collection(t.documents, "text"), question_terms(t), "doc_id").withColumn("score", F.round("score", 9))
 
 
@@ -60,6 +65,14 @@ def rt2(t):
     return flagship(t)
 
 
+@query("rt3_indexed_bm25", "SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, round(score, 9) AS score FROM @lexical ORDER BY score DESC, doc_id LIMIT 25)")
+def rt3(t):
+    path = scratch(t.spark, "index")
+    S.write_index(t.documents, "doc_id", "text", path)
+    scored = S.indexed_bm25(t.spark, path, question_terms(t), asked(t), "doc_id").withColumn("score", F.round("score", 9))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(25).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("rt4_idf", "SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM @dfs, @stats WHERE df >= 5")
 def rt4(t):
     f = S.frequencies(S.postings(t.documents, "doc_id", "text")).filter("df >= 5")
@@ -139,8 +152,8 @@ part("shards", "shards AS (SELECT lang AS shard, count(*) AS passages, sum(len(t
 def tk6(t):
     shards = t.documents.groupBy(F.col("lang").alias("shard")).agg(F.count("*").alias("passages"), F.sum(F.size(T.tokens("text"))).alias("tokens"))
     shards = shards.withColumn("eligible", F.col("shard") != "es").withColumn("reason", F.lit("no documents in the period"))
-    post = S.postings(t.documents, "doc_id", "text").join(t.documents.select("doc_id", F.col("lang").alias("shard")), "doc_id")
     terms = ["onheed", "nteres", "worthless", "edha", "thinor", "1998"]
+    post = S.postings(t.documents, "doc_id", "text", terms).join(t.documents.select("doc_id", F.col("lang").alias("shard")), "doc_id")
     return S.route(shards, post.groupBy("shard", "term").agg(F.count("*").alias("df")), terms, 2)
 
 
@@ -166,7 +179,7 @@ def ag16(t):
 
 @query("rt17_tf_maps", "SELECT doc_id, dl, list_sort(list(term || ':' || tf::VARCHAR)) AS tf FROM @postings JOIN @qterms USING (term) GROUP BY doc_id, dl")
 def rt17(t):
-    post = S.postings(t.documents, "doc_id", "text").join(F.broadcast(question_terms(t)), "term")
+    post = S.postings(t.documents, "doc_id", "text", asked(t))
     return post.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.concat("term", F.lit(":"), F.col("tf").cast("string")))).alias("tf"))  # terms of one question
 
 
@@ -177,7 +190,7 @@ def rt20(t):
 
 @query("rt21_and_count", "SELECT count(*) AS n FROM (SELECT doc_id FROM @postings WHERE term IN ('onheed', 'the', 'of') GROUP BY doc_id HAVING count(*) = 3)")
 def rt21(t):
-    post = S.postings(t.documents, "doc_id", "text").filter(F.col("term").isin("onheed", "the", "of"))
+    post = S.postings(t.documents, "doc_id", "text", ["onheed", "the", "of"])
     return post.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k = 3").agg(F.count("*").alias("n"))
 
 

@@ -1,7 +1,9 @@
-"""A session with the settings the engine expects."""
+"""A session with the settings the engine expects, and the folder that its machines share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +23,17 @@ def session(master: str | None = None, name: str = "pressmark", **settings: str)
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a single machine gets a temporary one; a cluster must name one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    sc = spark.sparkContext
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -50,12 +50,22 @@ def test_source_choice(spark):
     assert [r.n for r in rows.select(readers.chosen_source(F.col("files"))["name"].alias("n")).collect()] == ["x_djvu.xml", None, "q_djvu.txt"]
 
 
-def test_web():
-    title, text, meta = web.read_page("<head><title>A  b</title><meta name='Date' content='2001-02-03'></head><body><script>x()</script><p>One &amp;</p><div>two</div>")
-    assert (title, text, meta) == ("A b", "One &\ntwo", {"date": "2001-02-03"}) and web.read_page(None) == (None, "", {})
+def test_web(spark):
+    html = "<head><title>A  b</title><meta name='Date' content='2001-02-03'></head><body><script>x()</script><p>One &amp;</p><div>two</div>"
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "<meta content=b name=x><META NAME=\"X\" CONTENT='c d'><!-- <p>no --><title> </title>1 < 2<br>&eacute;<svg>q</svg>")], "k int, h string")
+    got = {r.k: (r.title, r.text, r.meta) for r in web.pages(rows, "k", "h").collect()}
+    assert got == {1: ("A b", "One &\ntwo", {"date": "2001-02-03"}), 2: (None, "", {}), 3: (None, "1 < 2\né", {"x": "c d"})}
+
+
+def test_robots(spark):
     robots = "User-agent: a\nUser-agent: B\nDisallow: /x\nAllow: /x/ok\n\nUser-agent: *\nDisallow: /\n# end"
-    assert [web.robots_allow(robots, a, p) for a, p in (("a", "/x/1"), ("b", "/x/ok"), ("b", "/y"), ("c", "/y"), ("a", "/"))] == [False, True, True, False, True]
-    assert web.robots_allow("User-agent: *\nDisallow: /*.pdf$", "z", "/a.pdf") is False and web.robots_allow("", "z", "/") is True
+
+    def reads(text, agent, path):
+        return web.allowed(spark.createDataFrame([(1, text, path)], "k int, r string, p string"), "k", "r", "p", agent).first().allowed
+
+    assert [reads(robots, a, p) for a, p in (("a", "/x/1"), ("b", "/x/ok"), ("b", "/y"), ("c", "/y"), ("a", "/"))] == [False, True, True, False, True]
+    assert reads("User-agent: *\nDisallow: /*.pdf$", "z", "/a.pdf") is False and reads("", "z", "/") is True and reads(None, "z", "/") is True
+    assert reads("User-agent: *\nDisallow: /*.pdf$", "z", "/a.pdfx") is True and reads("User-agent: z\n\nUser-agent: *\nDisallow: /", "z", "/q") is False
 
 
 def test_publication_date(spark):
