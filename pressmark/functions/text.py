@@ -5,8 +5,12 @@ Everything here is a native expression; a null text is treated as empty unless s
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The frozen stop list in its three groups (function words, words of asking, words for who acts).
 STOP_FUNCTION = """a an the and or but if so than as not no of to in on at by for from with about into over under
@@ -28,6 +32,12 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def decoded_references(texts: pd.Series) -> pd.Series:
+    """Character references of HTML as the characters they stand for; there are over two thousand names, so not natively."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(TOKEN), F.lit(0))

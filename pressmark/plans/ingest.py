@@ -166,11 +166,14 @@ def src7(t):
     return t.part.select(F.col("p_partkey").alias("k"), F.posexplode(I.pages(whole)).alias("leaf", "text")).select("k", "leaf", "text", F.char_length("text").alias("char_count"), (F.trim("text") != "").alias("has_text"))
 
 
-@query("src16_source_waterfall", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'text' WHEN o_orderkey % 3 = 0 THEN 'xml' WHEN o_orderkey % 2 = 0 THEN 'hocr' ELSE 'none' END AS source FROM orders")
+@query("src16_source_waterfall", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey::VARCHAR || '_djvu.txt' WHEN o_orderkey % 3 = 0 THEN o_orderkey::VARCHAR || '_djvu.xml' WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR || '_hocr.html' END AS source FROM orders")
 def src16(t):
+    from pressmark.sources.readers import chosen_source
+
     k = F.col("o_orderkey")
-    files = F.filter(F.array(F.when(k % 4 == 0, "text"), F.when(k % 3 == 0, "xml"), F.when(k % 2 == 0, "hocr")), lambda x: x.isNotNull())
-    return t.orders.select("o_orderkey", F.coalesce(F.get(files, 0), F.lit("none")).alias("source"))
+    ends = ((k % 2 == 0, "_hocr.html"), (k % 3 == 0, "_djvu.xml"), (k % 5 == 0, ".pdf"), (k % 4 == 0, "_djvu.txt"))
+    files = F.array_compact(F.array(*[F.when(has, F.struct(F.concat(k.cast("string"), F.lit(end)).alias("name"))) for has, end in ends]))
+    return t.orders.select("o_orderkey", chosen_source(files)["name"].alias("source"))
 
 
 @query("sc28_quote_check", None)

@@ -244,14 +244,6 @@ def sc44(t):
     return t.orders.select("o_orderkey", I.content_key("o_custkey", "o_orderstatus").alias("k"))
 
 
-@query("sc50_publication_date", None)
-def sc50(t):
-    from pressmark.sources.web import publication_date
-
-    meta = F.create_map(F.lit("date"), F.concat((F.col("page_id") % 30 + 1990).cast("string"), F.lit("-05-06")))
-    return t.pages.select("page_id", publication_date(meta, F.lit("")).alias("day"))
-
-
 @query("sc55_coverage_state", "SELECT p_partkey, CASE WHEN 1960 + p_size // 10 * 10 > 1989 OR p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'not_indexed' ELSE 'absent_from_examined_holdings' END AS state FROM part")
 def sc55(t):
     period = F.concat((F.floor(F.col("p_size") / 10) * 10 + 1960).cast("string"), F.lit("s"))

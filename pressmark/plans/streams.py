@@ -32,12 +32,29 @@ def src11(t):
     return web.pages(t.pages, "page_id", "html").select("page_id", "title", F.char_length("text").alias("n_chars"), F.map_keys("meta").alias("meta"))
 
 
-@query("src12_meta_tags", "SELECT page_id, nullif(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1), '') IS NOT NULL AS has_title, regexp_matches(html, '(?i)<meta\\s+name=[\"'']robots[\"'']') AS has_robots FROM pages")
+_TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')), '')"
+MARKS = ("<meta name='Robots' content='noai, noindex'>", '<META CONTENT="2001-02-03" NAME="dcterms.issued">', "<p>Date modified: 2004-05-06</p>", "")
+
+
+def _marked(t):
+    """Pages with something that sites say in their markup put before it, by page: a robots tag, a date tag, a written date, or nothing."""
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("page_id") % 4 + 1).cast("int"))
+    return t.pages.select("page_id", F.concat(mark, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+@query("src12_meta_tags", f"SELECT page_id, {_TITLE} AS title, CASE WHEN page_id % 4 = 0 THEN 'noai, noindex' END AS robots, CASE WHEN page_id % 4 = 1 THEN '2001-02-03' END AS issued FROM pages")
 def src12(t):
-    return t.pages.select("page_id", (F.regexp_extract("html", "(?i)<title>([^<]*)</title>", 1) != "").alias("has_title"), web.meta_tag(F.col("html"), "robots").isNotNull().alias("has_robots"))
+    tags = web.meta_tags(F.col("html"))
+    return _marked(t).select("page_id", web.page_title(F.col("html")).alias("title"), F.try_element_at(tags, F.lit("robots")).alias("robots"), F.try_element_at(tags, F.lit("dcterms.issued")).alias("issued"))
+
+
+@query("sc50_publication_date", "SELECT page_id, CASE page_id % 4 WHEN 1 THEN DATE '2001-02-03' WHEN 2 THEN DATE '2004-05-06' END AS day FROM pages")
+def sc50(t):
+    read = _marked(t).select("page_id", web.meta_tags(F.col("html")).alias("meta"), web.page_text(F.col("html")).alias("text"))
+    return read.select("page_id", web.publication_date(F.col("meta"), F.col("text")).alias("day"))
 
 
-@query("sc51_restriction_state", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN true WHEN page_id % 3 = 0 THEN NULL ELSE false END AS restricts FROM pages")
+@query("sc51_restriction_state", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN true WHEN page_id % 3 = 0 THEN NULL ELSE false END AS restricts FROM pages")
 def sc51(t):
-    k = F.col("page_id")
-    return t.pages.select("page_id", web.restricts(k % 5 == 0, k % 3 != 0, F.lit(True)).alias("restricts"))
+    said = F.coalesce(F.try_element_at(web.meta_tags(F.col("html")), F.lit("robots")).contains("noai"), F.lit(False))
+    return _marked(t).select("page_id", web.restricts(said, F.col("page_id") % 3 != 0, F.lit(True)).alias("restricts"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmark.functions.text import decoded_references
+
 #: Items as a harvest writes them; names that it may hold twice are read as text.
 HARVEST = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("identifier", "title", "creator_raw", "publisher_raw", "date_raw", "collection_raw", "language", "mediatype", "details_url", "license", "ocr_format", "ocr_engine", "ocr_file_ref")]
     + [T.StructField("has_word_coords", T.BooleanType()), T.StructField("has_printed_page_map", T.BooleanType()), T.StructField("page_count", T.IntegerType())]
 )
+MOST_RULES = 100_000
 LABELS = "struct<pages:array<struct<leafNum:int,pageNumber:string>>>"
 
 
@@ -38,6 +37,14 @@ def harvest(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, HARVEST).filter("identifier is not null")
 
 
+def raw_items(spark: SparkSession, path: str) -> DataFrame:
+    """Raw items as a table keeps them, the last record of each identifier in order of file and place: lists stay as JSON text, truth values are 0 or 1."""
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", HARVEST, {"mode": "FAILFAST"}).alias("r"), "at").filter("r.identifier is not null")
+    last = rows.groupBy("r.identifier").agg(F.max_by("r", "at").alias("r")).select("r.*")
+    return last.select(*[F.col(f.name).cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else f.name for f in HARVEST.fields])
+
+
 def done(manifest: DataFrame, key: str) -> DataFrame:
     """Keys that a log records as done: any record that is no error."""
     return manifest.filter(F.coalesce("kind", F.lit("")) != "error").select(key).distinct()
@@ -49,7 +56,10 @@ def rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     value = next(c for c in ("jurisdiction", "canonical", "doc_type") if c in rows.columns)
     specific = F.coalesce(F.col("specificity").cast("int"), F.lit(1)) if "specificity" in rows.columns else F.char_length("pattern")
     ordered = rows.select(F.lower(F.trim("pattern")).alias("p"), F.trim(value).alias("v"), specific.alias("s"), F.monotonically_increasing_id().alias("i")).filter("p <> ''").orderBy(F.desc("s"), "i")
-    return [(r["p"], r["v"]) for r in ordered.limit(100_000).collect()]
+    found = ordered.limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"{path}: more than {MOST_RULES} rules are no rule table")
+    return [(r["p"], r["v"]) for r in found]
 
 
 def page_texts(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -66,24 +76,12 @@ def xml_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("leaf"), F.coalesce(F.array_join(F.transform(flat, lambda w: F.trim(w)), " "), F.lit("")).alias("text"))
 
 
-def _strip(markup: str) -> str:
-    import html
-
-    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", markup)).split())
-
-
 def hocr_pages(files: DataFrame, key: str, content: str) -> DataFrame:
     """key, leaf, text of hOCR files: one row for each element of class ocr_page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, text in zip(b[key], b[content]):
-                parts = re.split(r"<div[^>]*class=[\"']ocr_page[\"'][^>]*>", text or "")
-                out += [(k, leaf, _strip(p)) for leaf, p in enumerate(parts[1:])]
-            yield pd.DataFrame(out, columns=[key, "leaf", "text"])
-
-    return files.select(key, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, leaf int, text string")
+    parts = F.split(F.coalesce(content, F.lit("")), r"<div[^>]*class=[\"']ocr_page[\"'][^>]*>")
+    spread = files.select(key, F.posexplode(F.slice(parts, 2, F.size(parts))).alias("leaf", "part"))
+    words = decoded_references(F.regexp_replace("part", r"<[^>]*>", " "))
+    return spread.select(key, "leaf", words.alias("text")).withColumn("text", F.trim(F.regexp_replace("text", r"[\s\xA0]+", " ")))
 
 
 def page_labels(files: DataFrame, key: str, content: str) -> DataFrame:

@@ -45,3 +45,65 @@ def demultiplexed(tagged: DataFrame, path: str, kinds: dict[str, list[str]]) ->
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     """Overwrites only the partitions that rows have: writing the same items again changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def vectors(rows: DataFrame, key: str, column: str, path: str, parts: int = 8) -> DataFrame:
+    """Writes vectors in order of their key and gives their manifest: rows, dim (null where they differ), digest.
+
+    The digest adds a hash of each row, so it depends on what is kept and not on how it is dealt.
+    """
+    rows.select(key, column).repartitionByRange(parts, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    kept = rows.sparkSession.read.parquet(path)
+    said = F.concat_ws(":", F.col(key).cast("string"), F.array_join(F.transform(column, lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), ","))
+    digest = F.sum(F.conv(F.substring(F.sha2(said, 256), 1, 14), 16, 10).cast("decimal(38,0)")).cast("string")
+    size = F.size(column)
+    return kept.agg(F.count("*").alias("rows"), F.when(F.min(size) == F.max(size), F.min(size)).alias("dim"), digest.alias("digest"))
+
+
+class Store:
+    """Objects by key below a folder that the cluster shares: put, get, head, list."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, key: str):
+        if key.startswith("/") or ".." in key.split("/"):
+            raise ValueError(f"no key of a store: {key}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def put(self, key: str, body: bytes) -> None:
+        path, fs = self._path(key)
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(body))
+        finally:
+            out.close()
+
+    def head(self, key: str) -> int | None:
+        """The object's size; null where there is none."""
+        path, fs = self._path(key)
+        return fs.getFileStatus(path).getLen() if fs.exists(path) else None
+
+    def get(self, keys: str) -> DataFrame:
+        """key, size, content of the objects that a pattern of keys names, read where the executors are."""
+        found = self.spark.read.format("binaryFile").load(f"{self.root}/{keys}")
+        return found.select(F.substring_index("path", self.root.split("://")[-1] + "/", -1).alias("key"), F.col("length").alias("size"), "content")
+
+    def list(self, prefix: str) -> DataFrame:
+        """key, size of every object below a prefix."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.root}/{prefix}")
+        return found.select(F.substring_index("path", self.root.split("://")[-1] + "/", -1).alias("key"), F.col("length").alias("size"))
+
+
+def checksum_lines(rows: DataFrame, name: str, digest: str) -> DataFrame:
+    """A manifest's lines: digest, two spaces, name."""
+    return rows.select(F.concat(F.col(digest), F.lit("  "), F.col(name)).alias("value"))
+
+
+def read_checksums(lines: DataFrame) -> DataFrame:
+    """name, digest of a manifest's lines; blank lines and those that begin with # are passed over, others are errors."""
+    kept = lines.filter((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    sound = F.col("value").rlike(r"^[0-9a-f]{64} [ *]\S")
+    checked = F.when(sound, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no line of a manifest: "), "value")))
+    return kept.select(checked.alias("v")).select(F.expr("substring(v, 67)").alias("name"), F.substring("v", 1, 64).alias("digest"))

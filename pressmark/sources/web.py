@@ -7,24 +7,18 @@ with one name the last counts; without a rule that matches a path may be read.
 
 from __future__ import annotations
 
-import html as entities
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pressmark.functions.text import decoded_references
 
 # Fixed values of HTML: elements whose content is no text of the page, and those that begin a line.
 _SILENT = "script|style|noscript|template|svg|title"
 _LINE = "p|br|div|li|h[1-4]|tr|section"
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(entities.unescape, na_action="ignore")
-
-
 def _without_comments(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
 
@@ -52,7 +46,7 @@ def meta_tags(html: Column) -> Column:
 def pages(rows: DataFrame, key: str, html: str) -> DataFrame:
     """key, title, text, meta of every page."""
     h = F.col(html)
-    read = rows.select(key, _decoded(page_title(h)).alias("title"), _decoded(page_text(h)).alias("text"), meta_tags(h).alias("meta"))
+    read = rows.select(key, decoded_references(page_title(h)).alias("title"), decoded_references(page_text(h)).alias("text"), meta_tags(h).alias("meta"))
     spaced = F.regexp_replace(F.regexp_replace("text", r"[ \t\r\f\x0B]+", " "), r"\n\s*\n", "\n\n")
     return read.withColumn("text", F.regexp_replace(F.regexp_replace(spaced, r"\n\s*\n", "\n\n"), r"\A\s+|\s+\z", ""))
 

@@ -55,3 +55,18 @@ def limited(rows: DataFrame, key: str, ts: str, rate: float, burst: float) -> Da
         state.update((tokens, last))
 
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def unit_share(units: DataFrame, done: DataFrame, key: str, worker: int, workers: int) -> DataFrame:
+    """The units that one of several workers still has to do: every workers-th of all in order of the key, without those done.
+
+    Places in the order come from counts of ranges and places within each, so no task holds all units.
+    """
+    from pyspark.sql import Window
+
+    ranged = units.select(key).repartitionByRange(key).withColumn("range_of", F.spark_partition_id())
+    numbered = ranged.withColumn("within", F.row_number().over(Window.partitionBy("range_of").orderBy(key)))
+    sizes = numbered.groupBy("range_of").agg(F.max("within").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range_of")) - F.col("n")).drop("n")  # one row a range
+    placed = numbered.join(F.broadcast(before), "range_of").withColumn("place", F.col("before") + F.col("within") - 1)
+    return placed.filter(F.col("place") % workers == worker).join(done.select(key), key, "left_anti").select(key, "place")
