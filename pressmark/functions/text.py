@@ -6,6 +6,7 @@ Everything here is a native expression; a null text is treated as empty unless s
 from __future__ import annotations
 
 import html
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +39,36 @@ def decoded_references(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def composed_characters(texts: pd.Series) -> pd.Series:
+    """Texts in Unicode's composed form (NFC), which Spark has no function for."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def normalised_question(c: Column | str) -> Column:
+    """A question in composed characters, control characters and white space as single spaces."""
+    return F.trim(F.regexp_replace(composed_characters(_text(c)), r"[\x00-\x20\x7F]+", " "))
+
+
+@F.pandas_udf(T.StringType())
+def without_marks(texts: pd.Series) -> pd.Series:
+    """Texts without combining marks, after Unicode's compatibility decomposition (NFKD)."""
+    return texts.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)), na_action="ignore")
+
+
+def folded(c: Column | str) -> Column:
+    """Lower case without accents; all but letters and digits of ASCII become single spaces."""
+    return F.trim(F.regexp_replace(F.lower(without_marks(_text(c))), "[^a-z0-9]+", " "))
+
+
+def year_spans(c: Column | str) -> Column:
+    """array<struct(start, end)> of every year that stands by itself, as offsets in characters."""
+    parts = F.split(_text(c), r"(?<![0-9A-Za-z_])(?:1[89]\d\d|20\d\d)(?![0-9A-Za-z_])", -1)  # what stands between years
+    end = lambda ps, i: F.aggregate(F.slice(ps, 1, i), F.lit(0), lambda s, p: s + F.char_length(p) + 4)
+    spans = lambda ps: F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda p, i: F.struct((end(ps, i + 1) - 4).alias("start"), end(ps, i + 1).alias("end")))
+    return F.transform(F.array(parts), spans)[0]
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(TOKEN), F.lit(0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +89,22 @@ def swept(configs: dict[str, object], run) -> DataFrame:
         one = run(config).withColumn("config", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+class Memo:
+    """Results kept by what they were asked with, in a folder that the cluster shares, so that a sweep asks once."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root
+        self.hits = self.misses = 0
+
+    def get(self, asked: object, run) -> DataFrame:
+        """The kept result for ``asked`` (anything that JSON can hold), else that of run(), kept whole before it is read."""
+        path = f"{self.root}/{hashlib.sha256(json.dumps(asked, sort_keys=True).encode()).hexdigest()}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            self.hits += 1
+        else:
+            self.misses += 1
+            run().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)

@@ -73,27 +73,64 @@ def confusion(pairs: DataFrame, a: str, b: str, values: list) -> DataFrame:
     return pairs.groupBy(F.col(a).alias("truth")).pivot(b, values).count().na.fill(0)
 
 
-def drawn(seed: str, resample: Column, position: Column, n: Column) -> Column:
-    """Which of n rows is drawn at a position of a resample: the same in every engine with sha256."""
-    h = F.sha2(F.concat(F.lit(seed), resample.cast("string"), F.lit(":"), position.cast("string")), 256)
-    return F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), n)
+MOST_UNITS = 1_000_000  # units that a bootstrap resamples: the questions, answers or clusters of an evaluation
 
 
-def bootstrap(rows: DataFrame, key: str, num: str, den: str, resamples: int, seed: str) -> DataFrame:
+def bootstrap(rows: DataFrame, key: str, num: str, den: str, resamples: int, seed: str, strata: str | None = None) -> DataFrame:
     """One row: the ratio of sums with the 2.5 and 97.5 percentiles over resamples of the rows (clusters, or paired differences).
 
-    rows: one row for each unit; the units of an evaluation are few, their draws are spread over the cluster.
+    rows: one row for each unit, ``MOST_UNITS`` at most (more is an error); their draws are spread over the
+    cluster. With ``strata`` units are drawn again within each stratum.
     """
-    numbered = rows.select(key, num, den).withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)  # units of an evaluation
-    n = numbered.agg(F.count("*").alias("n"))
-    draws = rows.sparkSession.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(n)).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picked = draws.select("r", drawn(seed, F.col("r"), F.col("p"), F.col("n")).alias("i")).join(F.broadcast(numbered), "i")
+    by = F.col(strata).cast("string") if strata else F.lit("")
+    units = rows.select(by.alias("stratum"), key, num, den)
+    sizes = units.groupBy("stratum").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("all_units")).select(F.when(F.col("all_units") > MOST_UNITS, F.raise_error(F.lit(f"a bootstrap takes {MOST_UNITS} units at most"))).otherwise(F.lit(True)).alias("sound"))
+    sizes = sizes.crossJoin(F.broadcast(total)).filter("sound")  # one row
+    numbered = units.withColumn("i", F.row_number().over(Window.partitionBy("stratum").orderBy(key)) - 1)
+    draws = rows.sparkSession.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(sizes)).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))  # a row a stratum
+    h = F.sha2(F.concat(F.lit(seed), F.col("stratum"), F.col("r").cast("string"), F.lit(":"), F.col("p").cast("string")), 256)
+    picked = draws.select("r", "stratum", F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), F.col("n")).alias("i")).join(F.broadcast(numbered), ["stratum", "i"])
     values = picked.groupBy("r").agg((F.sum(num) / F.sum(den)).alias("v"))
     point = rows.agg((F.sum(num) / F.sum(den)).alias("value"))
     spread = values.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
     return point.crossJoin(spread).select(*[F.round(c, 6).alias(c) for c in ("value", "low", "high")])
 
 
+def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, resamples: int, seed: str) -> DataFrame:
+    """The mean of a - b over units with its interval: the same draws for both. Units without either are left out."""
+    pairs = rows.select(key, (F.col(a) - F.col(b)).alias("num"), F.lit(1).alias("den")).filter("num is not null")
+    return bootstrap(pairs, key, "num", "den", resamples, seed)
+
+
+def bootstrap_total(rows: DataFrame, key: str, value: str, population: int, resamples: int, seed: str) -> DataFrame:
+    """A population's total from a sample: its mean times the population, and the interval of that."""
+    mean = bootstrap(rows.select(key, F.col(value).alias("num"), F.lit(1).alias("den")), key, "num", "den", resamples, seed)
+    return mean.select(F.round("value", 2).alias("per_item"), *[F.round(F.col(c) * population).cast("long").alias(t) for c, t in (("value", "total"), ("low", "total_low"), ("high", "total_high"))])
+
+
+def design_effect(clusters: DataFrame, key: str, num: str, den: str, resamples: int, seed: str) -> DataFrame:
+    """How much wider the interval over clusters is than Wilson's over single marks, squared; with both intervals."""
+    sums = clusters.agg(F.sum(num).alias("s"), F.sum(den).alias("n"))
+    low, high = wilson_or_all(F.col("s"), F.col("n"))
+    both = bootstrap(clusters, key, num, den, resamples, seed).crossJoin(sums.select(low.alias("wilson_low"), high.alias("wilson_high")))  # one row each
+    effect = F.pow((F.col("high") - F.col("low")) / F.nullif(F.col("wilson_high") - F.col("wilson_low"), F.lit(0.0)), 2)
+    return both.select("value", "low", "high", F.round("wilson_low", 6).alias("wilson_low"), F.round("wilson_high", 6).alias("wilson_high"), F.round(effect, 2).alias("design_effect"))
+
+
+def abstention(questions: DataFrame, hits: DataFrame, gold: DataFrame, least: int) -> DataFrame:
+    """q, gold, uncovered, single_source, would_abstain for every question, without asking a model.
+
+    questions: q, terms (array); hits: q, item, tokens (array), the passages it would be answered from; gold: q, answerable.
+    """
+    seen = hits.groupBy("q").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"))
+    covered = hits.select("q", F.explode("tokens").alias("term")).join(questions.select("q", F.explode("terms").alias("term")), ["q", "term"]).distinct().groupBy("q").agg(F.count("*").alias("covered"))
+    rows = questions.join(seen, "q", "left").join(covered, "q", "left").join(gold, "q", "left")
+    open_ = F.size("terms") - F.coalesce("covered", F.lit(0))
+    said = F.when(F.col("answerable").isNotNull(), F.when(F.col("answerable") == 1, "answerable").otherwise("abstain"))
+    return rows.select("q", said.alias("gold"), open_.cast("long").alias("uncovered"), (F.coalesce("items", F.lit(0)) <= 1).alias("single_source"), ((F.coalesce("n", F.lit(0)) < least) | (open_ > 0)).alias("would_abstain"))
+
+
 def panel(votes: DataFrame, first: str, second: str) -> DataFrame:
     """How a pair of judges settles an item: agree, escalated where they differ, human where one is silent. votes: item, judge, vote."""
     by = votes.groupBy("item").pivot("judge", [first, second]).agg(F.first("vote"))

@@ -6,8 +6,12 @@ ranking ends in the passage's id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +111,63 @@ def dense_top(vectors: DataFrame, key: str, column: str, query: DataFrame, k: in
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+BLOCK = 2048  # vectors, and queries, that are multiplied at a time
+
+
+def dense_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+    """query_key, key, score: the k nearest by cosine of every query, ties by key, in blocks of queries against blocks of vectors.
+
+    Every vector goes to one task for each block of queries, never to one for each query, and only k rows
+    a query leave a task. A vector without length is like nothing (0).
+    """
+    blocks_of = lambda n: max(1, -(-n // BLOCK))
+    v_blocks, q_blocks = blocks_of(vectors.count()), blocks_of(queries.count())
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.select(F.lit(None).cast(queries.schema[query_key].dataType).alias("q"), F.col(key).alias("key"), doubles(column).alias("v"), block(key, v_blocks).alias("x"), every(q_blocks).alias("y"))
+    rows = rows.unionByName(queries.select(F.col(query_key).alias("q"), F.lit(None).cast(vectors.schema[key].dataType).alias("key"), doubles(column).alias("v"), every(v_blocks).alias("x"), block(query_key, q_blocks).alias("y")))
+    dealt = rows.repartition("x", "y").sortWithinPartitions(F.col("x"), F.col("y"), F.col("key").asc_nulls_first(), F.col("q"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(table: pa.Table) -> pa.RecordBatch | None:
+            asks = table.filter(pc.is_null(table.column("key")))
+            has = table.filter(pc.is_valid(table.column("key")))
+            if not asks.num_rows or not has.num_rows:
+                return None
+            unit = []
+            for t in (asks, has):
+                flat = t.column("v").combine_chunks()
+                m = flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+                size = np.sqrt((m * m).sum(1, keepdims=True))
+                unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
+            score = np.round(unit[0] @ unit[1].T, 9)
+            # rows come by key, so a stable order breaks ties by key
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(asks.num_rows), best.shape[1])
+            out = [asks.column("q").take(pa.array(row)).combine_chunks(), has.column("key").take(pa.array(best.ravel())).combine_chunks(), pa.array(score[row, best.ravel()])]
+            return pa.record_batch([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], ["q", "key", "score"])
+
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(i, j - i)
+                if held and (held[0].column("x")[0], held[0].column("y")[0]) != (part.column("x")[0], part.column("y")[0]):
+                    if found := solve(pa.Table.from_batches(held)):
+                        yield found
+                    held = []
+                held.append(part)
+        if held and (found := solve(pa.Table.from_batches(held))):
+            yield found
+
+    kinds = f"q {queries.schema[query_key].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, score double"
+    found = dealt.mapInArrow(nearest, kinds)
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).filter(F.col("r") <= k)
+    return best.select(F.col("q").alias(query_key), F.col("key").alias(key), "score")
+
+
 def with_rank(scored: DataFrame, key: str, by: list[str], name: str, order: str = "score") -> DataFrame:
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order), key)))
 

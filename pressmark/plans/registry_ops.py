@@ -271,18 +271,6 @@ def ev10(t):
     return t.benchmark.join(hits.select("item_id", F.lit(1).alias("hit")).distinct(), "item_id", "left").agg(F.countDistinct("item_id").alias("questions"), F.countDistinct(F.when(F.col("hit") == 1, F.col("item_id"))).alias("found"))
 
 
-@query("ev13_cluster_bootstrap", None)
-def ev13(t):
-    clusters = t.labels.join(t.documents, "doc_id").groupBy("source").agg(F.sum("quality").alias("num"), F.count("*").alias("den"))
-    return E.bootstrap(clusters, "source", "num", "den", 200, "cl")
-
-
-@query("ev16_guardrail", None)
-def ev16(t):
-    units = t.orders.groupBy("o_orderpriority").agg(F.sum((F.col("o_orderstatus") == "F").cast("int")).alias("num"), F.count("*").alias("den"))
-    return E.bootstrap(units, "o_orderpriority", "num", "den", 200, "gr").select("*", (F.col("low") > 0.2).alias("holds"))
-
-
 @query("ev20_audit_status", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'AGREEMENT-WITH-REFERENCE-ONLY' WHEN quality = 1 AND doc_id % 3 = 0 THEN 'AI-AUDITED' ELSE 'NOT-AI-AUDITED' END AS status FROM labels")
 def ev20(t):
     return t.labels.select("doc_id", C.audit_status(F.col("quality") == 1, F.col("doc_id") % 5 != 0, F.col("doc_id") % 3 == 0).alias("status"))
