@@ -81,7 +81,7 @@ def block_features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(b.text) for b in every], float)
     words = np.array([b.text.count(" ") + 1 for b in every], float)
     link = np.array([b.linked for b in every], float) / size
-    stop = np.array([b.text[-1] in ".!?:;…»\"'”)*%$#&|" for b in every], float)
+    stop = np.array([not b.text[-1].isalnum() for b in every], float)
     stock = np.array([len(b.text) < 300 and _STOCK.search(b.text) is not None for b in every], float)
     depth = np.array([b.depth for b in every], float)
     first = np.repeat(np.cumsum(n) - n, n)
@@ -105,8 +105,9 @@ def block_features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
 def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Pages of random words in many templates, each with the text blocks of its article in order."""
     r = random.Random(seed)
-    letters = ["an", "er", "th", "ou", "ti", "le", "que", "ment", "ung", "sch", "ón", "ía", "re", "st", "o", "a", "é", "ß"]
-    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 4)))
+    syllable = lambda: r.choice("bcdfghjklmnprstvwz") + r.choice("aeiouy" if r.random() < 0.9 else "äåëìôúøč")
+    word = lambda: "".join(syllable() for _ in range(r.choice([1, 1, 2, 2, 3, 4]))) + r.choice(["", "", "n", "s", "l"])
+    noise = lambda: "".join(r.choice("!#$%*+-=@^_~|/\\") for _ in range(r.randint(1, 3)))
 
     def words(a: int, b: int, end: str = "") -> str:
         return " ".join(word() for _ in range(r.randint(a, b))).capitalize() + end
@@ -115,7 +116,15 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, l
         return r.choice(options)()
 
     def sentence_block() -> str:
-        return " ".join(words(1, 22, r.choice([".", ".", ".", "!", "?", "", ":", "###", "!!"])) for _ in range(r.choice([1, 1, 1, 2, 3, 6])))
+        return " ".join(words(1, 22, r.choice([".", ".", ".", "!", "?", "", ":", ";", noise()])) for _ in range(r.choice([1, 1, 1, 2, 3, 6])))
+
+    def inline(text: str) -> str:
+        """Text whose beginning may stand in an element of a line, closed or left open, or with a break after it."""
+        if r.random() < 0.75:
+            return text
+        tag, cut = r.choice(["b", "i", "em", "strong", "span", "a", "u", "font"]), r.randint(0, len(text))
+        cut = text.rfind(" ", 0, cut) if " " in text[:cut] else len(text)
+        return f"<{tag}>{text[:cut]}" + r.choice([f"</{tag}>", f"</{tag}>", ""]) + text[cut:] + r.choice(["", "", "<br>", "<br/>"])
 
     def links(a: int, b: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{word()}">{words(1, 3)}</a></{tag}>' for _ in range(r.randint(a, b)))
@@ -148,7 +157,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, l
         return f"<{(t := r.choice(['div', 'section', 'aside', 'ol']))}{cls('comments', 'comment-list', 'discussion', 'responses', 'disqus', 'reviews')}><h3>{words(1, 3)}</h3>{many}</{t}>"
 
     def foot() -> str:
-        return pick(lambda: f"<footer>&copy; {word()}.example &middot; {sentence_block()}</footer>", lambda: f"<div{cls('footer', 'copyright', 'legal')}><p>{sentence_block()}</p><ul>{links(1, 4)}</ul></div>", lambda: f"<footer><p>{sentence_block()}</p>{menu()}</footer>")
+        return pick(lambda: f"<footer>{r.choice(['&copy;', '(c)', 'Copyright', '&#169;'])} {r.randint(1995, 2030)} {words(1, 3)}. {sentence_block()}</footer>", lambda: f"<footer>{words(1, 3)} &ndash; {sentence_block()}</footer>", lambda: f"<div{cls('footer', 'copyright', 'legal')}><p>{sentence_block()}</p><ul>{links(1, 4)}</ul></div>", lambda: f"<footer><p>{sentence_block()}</p>{menu()}</footer>")
 
     def hidden() -> str:
         return f"<div style='display:none'><p>{sentence_block()}</p></div>"
@@ -164,8 +173,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, l
         def block() -> str:
             open_end = r.random() < 0.2
             return pick(
-                *[lambda: f"<p>{say(sentence_block())}" + ("" if open_end else "</p>")] * 8,
-                lambda: f"<p><b>{say(sentence_block())}<br>",
+                *[lambda: f"<p>{inline(say(sentence_block()))}" + ("" if open_end else "</p>")] * 9,
                 lambda: f"<h{(k := r.randint(2, 4))}>{say(words(1, 9))}</h{k}>",
                 lambda: "<ul>" + "".join(f"<li>{say(words(1, 14))}</li>" for _ in range(r.randint(1, 5))) + "</ul>",
                 lambda: "<ol>" + "".join(f"<li><p>{say(sentence_block())}</p></li>" for _ in range(r.randint(1, 4))) + "</ol>",
@@ -192,7 +200,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, l
         for make, p in ((advert, 0.3), (reader, 0.45), (side, 0.4), (form, 0.25), (menu, 0.15), (hidden, 0.1), (foot, 0.85), (notice, 0.1)):
             if r.random() < p:
                 body.append(make())
-        page = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(1, 6)}</title><style>p{{margin:0}}</style></head><body>{''.join(body)}<script>var x='</p>';</script></body></html>"
+        page = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(1, 6)}</title><style>.{word()}{{color:#333}}</style></head><body>{''.join(body)}<script>window.{word()}=1;</script></body></html>"
         out.append((page, gold))
     return out
 

@@ -119,9 +119,8 @@ class Packer:
 def pack(docs: DataFrame, file: bytes, end: int = END) -> DataFrame:
     """Pieces of all documents: doc_id, start, ids (little-endian unsigned 32-bit integers), doc_tokens, sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else None
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    def batch_of(rows: list[tuple], arrow: pa.DataType) -> pa.RecordBatch:
         doc, start, ids, n, seq, at = zip(*rows)
         return pa.record_batch(
             [pa.array(doc, arrow), pa.array(start, pa.int64()), pa.array([i.astype("<u4", copy=False).tobytes() for i in ids], pa.binary()), pa.array(n, pa.int64()), pa.array(seq, pa.int64()), pa.array(at, pa.int64())],
@@ -140,9 +139,9 @@ def pack(docs: DataFrame, file: bytes, end: int = END) -> DataFrame:
                     rows += packer.add(doc, np.append(ids, last))
                 at += len(group)
                 if rows:
-                    yield batch_of(rows)
+                    yield batch_of(rows, batch.schema.field("doc_id").type)
         if rows := list(packer.flush()):
-            yield batch_of(rows)
+            yield batch_of(rows, batch.schema.field("doc_id").type)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 

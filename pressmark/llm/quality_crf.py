@@ -55,6 +55,8 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     h = flat.span_hashes(data, ws, we) if len(ws) else np.zeros(0, np.uint64)
     again = np.zeros(len(ws), bool)
     again[1:] = h[1:] == h[:-1]
+    opens = np.searchsorted(ws, offs[:-1])
+    again[opens[opens < len(ws)]] = False  # a text's first word follows none
     share = lambda kind: flat.totals(kind[data], starts, ends) / size
     line_h = flat.span_hashes(data, starts, ends)
     text_of = np.repeat(np.arange(len(n)), n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def _bucket(key: Column, bounds: list[float]) -> Column:
@@ -26,8 +27,10 @@ def with_successors(rows: DataFrame, key: str, ties: list[str], parts: int) -> D
     Adds a boolean column ``_follows``: after a partition's own rows come copies, marked
     true, of the rows with the smallest key of the next range that has any; after the
     last range those of the first. Only these few rows are sent twice. What is broadcast
-    is one row for each range.
+    is one row for each range. The key must be a number; other kinds are an error.
     """
+    if not isinstance(rows.schema[key].dataType, NumericType):
+        raise TypeError(f"{key} must be a number to be dealt by ranges")
     bounds = sorted(set(rows.approxQuantile(key, [k / parts for k in range(1, parts)], 1 / (8 * parts)))) if parts > 1 else []
     placed = rows.withColumn("_range", F.coalesce(_bucket(F.col(key), bounds), F.lit(0)))
     firsts = placed.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("a"), F.col(key).alias("b"))).alias("m")).select("_range", "m.b").orderBy("_range").collect()  # one row per range
