@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +52,14 @@ def read(question: str, places: tuple[str, ...] = ()) -> Constraints:
 def constraints_of(rows: DataFrame, column: str, places: tuple[str, ...]) -> DataFrame:
     """The constraints of a batch of questions."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [read(q, places) for q in b[column]]
-            yield pd.DataFrame({column: b[column], "years": [[list(r) for r in c.years] for c in found], "as_of": pd.array([c.as_of for c in found], "Int32"), "places": [list(c.places) for c in found]})
+            found = [read(q or "", places) for q in b.column(column).to_pylist()]
+            kinds = (pa.list_(pa.list_(pa.int32())), pa.int32(), pa.list_(pa.string()))
+            values = ([[list(r) for r in c.years] for c in found], [c.as_of for c in found], [list(c.places) for c in found])
+            yield pa.record_batch([b.column(column), *(pa.array(v, k) for v, k in zip(values, kinds))], [column, "years", "as_of", "places"])
 
-    return rows.select(column).mapInPandas(run, f"{column} string, years array<array<int>>, as_of int, places array<string>")
+    return rows.select(column).mapInArrow(run, f"{column} string, years array<array<int>>, as_of int, places array<string>")
 
 
 def bonus(c: Constraints, weights: dict[str, float]) -> Column:

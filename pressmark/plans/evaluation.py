@@ -76,7 +76,7 @@ def mx79(t):
     return rows.select("lang", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 
 
-@query("mx96_rate_text", None)
+@query("mx96_rate_text", """SELECT printf('%.1f%% (%d/%d, 95%% CI %.1f-%.1f%%)', 100.0 * k / n, k, n, 100 * (p + z * z / (2 * n) - m) / (1 + z * z / n), 100 * (p + z * z / (2 * n) + m) / (1 + z * z / n)) AS said FROM (SELECT *, z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS m FROM (SELECT sum(quality)::BIGINT AS k, count(*) AS n, sum(quality) / count(*)::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM labels))""")
 def mx96(t):
     rows = t.labels.agg(F.sum("quality").alias("k"), F.count("*").alias("n"))
     return rows.select(E.rate_text(F.col("k"), F.col("n")).alias("said"))

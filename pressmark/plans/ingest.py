@@ -138,7 +138,7 @@ def sc23(t):
     return t.part.select("p_partkey", n["value"].alias("value"), n["method"].alias("method"))
 
 
-@query("sc14_derived_year", None)
+@query("sc14_derived_year", "SELECT item_id, 1987 AS year, 'copyright' AS method FROM benchmark")
 def sc14(t):
     d = I.derived_year(F.concat("text", F.lit(" (c) 1987. Ottawa, March 3, 1990")), F.lit("Report"))
     return t.benchmark.select("item_id", d["year"].alias("year"), d["method"].alias("method"))
@@ -176,10 +176,10 @@ def src16(t):
     return t.orders.select("o_orderkey", chosen_source(files)["name"].alias("source"))
 
 
-@query("sc28_quote_check", None)
+@query("sc28_quote_check", f"SELECT item_id, substr(text, 1, 30) AS quote, true AS on_page FROM benchmark WHERE len({TOK.format('substr(text, 1, 30)')}) >= 3")
 def sc28(t):
     sentence = F.concat(F.lit('It says "'), F.substring("text", 1, 30), F.lit('" and "two words" here.'))
-    return t.benchmark.select("item_id", I.quotes_on_page(sentence, "text").alias("quotes"))
+    return t.benchmark.select("item_id", F.explode(I.quotes_on_page(sentence, "text")).alias("q")).select("item_id", F.col("q.text").alias("quote"), F.col("q.on_page").alias("on_page"))
 
 
 @query("sc30_sc31_citation_verdict", """SELECT l_orderkey, CASE WHEN NOT bool_and(o_orderkey IS NOT NULL AND l_quantity > 2) THEN 'fail' WHEN bool_or(r = false) THEN 'fail' WHEN bool_or(r IS NULL) THEN 'unrecorded' ELSE 'pass' END AS verdict FROM (SELECT l_orderkey, l_quantity, o_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount < 0.09 END AS r FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey) GROUP BY l_orderkey""")
@@ -213,7 +213,7 @@ def sc41(t):
     return t.items.select("item_id", I.rights(kind, F.col("year"), F.lit(True), 2048).alias("status"))
 
 
-@query("sc42_overclaims", None)
+@query("sc42_overclaims", "SELECT item_id, ['changed', 'led to'] AS claims FROM benchmark")
 def sc42(t):
     return t.benchmark.select("item_id", I.overclaims(F.concat("text", F.lit(" It changed. It never changed. That led to growth."))).alias("claims"))
 

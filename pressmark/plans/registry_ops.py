@@ -239,7 +239,7 @@ def sc40(t):
     return t.documents.filter(F.size(C.term_flags(F.col("text"), ["of the"])) > 0).select("doc_id")
 
 
-@query("sc44_content_key", None)
+@query("sc44_content_key", "SELECT o_orderkey, sha256('{\"o_custkey\":' || o_custkey::VARCHAR || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS k FROM orders")
 def sc44(t):
     return t.orders.select("o_orderkey", I.content_key("o_custkey", "o_orderstatus").alias("k"))
 

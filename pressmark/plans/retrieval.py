@@ -183,7 +183,7 @@ def rt17(t):
     return post.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.concat("term", F.lit(":"), F.col("tf").cast("string")))).alias("tf"))  # terms of one question
 
 
-@query("rt20_fnv1a", None)
+@query("rt20_fnv1a", "SELECT p_partkey, list_reduce(list_concat([2166136261::HUGEINT], list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::BIGINT, 2))::HUGEINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296)::BIGINT AS h FROM (SELECT p_partkey, hex(p_name) AS hx FROM part)")
 def rt20(t):
     return t.part.select("p_partkey", T.fnv1a("p_name").alias("h"))
 
@@ -239,7 +239,7 @@ def wn13(t):
     return t.embeddings.crossJoin(F.broadcast(q)).groupBy("label").agg(F.round(F.max(S.cosine(S.doubles("embedding"), F.col("v"))), 6).alias("best"))
 
 
-@query("rt12_question_constraints", None)
+@query("rt12_question_constraints", "SELECT * FROM (VALUES ('Between 1974 and 1980, what changed?', [[1974, 1980]], NULL::INT, []::VARCHAR[]), ('as of 1999 in the 1960s', [[1960, 1969]], 1999, []), ('1974-1979 then 1985', [[1974, 1979], [1985, 1985]], NULL, [])) v(q, years, as_of, places)")
 def rt12(t):
     from pressmark.operators.metadata import constraints_of
 
