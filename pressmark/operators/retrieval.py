@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmark.functions import periods, text
+from pressmark.session import checkpointed
 
 K1, B, RRF_K = 1.2, 0.75, 60
 QUALITY_WEIGHTS = {"high": 1.0, "medium": 0.9, "low": 0.75}
@@ -66,6 +67,29 @@ def bm25(post: DataFrame, stats: DataFrame, questions: DataFrame, key: str) -> D
     return scored.select("term", key, weight.alias("w")).join(F.broadcast(questions), "term").groupBy("q", key).agg(F.sum("w").alias("score"))
 
 
+def bm25_once(docs: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
+    """key, score of every document with a term of one question: texts are taken apart once, and nothing is shuffled.
+
+    What is kept of a document is its length and its tokens that the question asks for; the collection's
+    size and the terms' frequencies are one row, which meets every document that holds a term.
+    """
+    if not terms:
+        return docs.select(key, F.lit(None).cast("double").alias("score")).limit(0)
+    t = docs.select(key, text.tokens(column).alias("ts"))
+    kept = checkpointed(t.select(key, F.size("ts").alias("dl"), F.filter("ts", lambda w: w.isin(terms)).alias("hits")))
+    df = {w: F.count_if(F.array_contains("hits", w)).alias(f"df_{i}") for i, w in enumerate(terms)}
+    one = kept.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), *df.values())
+    score = F.lit(0.0)
+    for i, w in enumerate(terms):
+        tf = F.size(F.filter("hits", _is(w)))
+        score = score + F.when(tf > 0, bm25_weight(tf, F.col("dl"), F.col("n"), F.col("tokens"), F.col(f"df_{i}"))).otherwise(0.0)
+    return kept.filter(F.size("hits") > 0).crossJoin(F.broadcast(one)).select(key, score.alias("score"))  # one row
+
+
+def _is(word: str):
+    return lambda x: x == word
+
+
 def write_index(docs: DataFrame, key: str, column: str, path: str, parts: int = 64) -> None:
     """Keeps postings in order of term over ``parts`` ranges (a common term's are dealt to several), their frequencies, and the collection's size."""
     post = postings(docs, key, column)

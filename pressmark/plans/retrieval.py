@@ -39,8 +39,7 @@ def asked(t, text: str = QUESTION) -> list[str]:
 
 
 def _lexical(t):
-    post = S.postings(t.documents, "doc_id", "text", asked(t))
-    return S.bm25(post, S.collection(t.documents, "text"), question_terms(t), "doc_id").withColumn("score", F.round("score", 9))
+    return S.bm25_once(t.documents, "doc_id", "text", asked(t)).select(F.lit("q1").alias("q"), "doc_id", F.round("score", 9).alias("score"))
 
 
 def _dense(t):
