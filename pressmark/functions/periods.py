@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The window of the collections and the order of the lanes.
 FIRST, LAST = 1960, 2009
 LANES = ["pre-1960", "1960s", "1970s", "1980s", "1990s", "2000s", "post-2009", "undated"]
 
