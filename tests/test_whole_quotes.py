@@ -1,6 +1,6 @@
 import __spark_entry__ as entry
 from pressmark.operators.matching import containing
-from tests.llm.fixtures import write
+from tests.whole import write
 
 QUOTES = ["profit", "rofi", "a  profit", "it was a profit.", "", " ", None, "none", "two words", "no profit"] + [f"q{i}" for i in range(600)]
 TEXTS = ["It was a profit.", "profits", "unprofitable", "for it was a profit. Yes", "two wordsmiths", "", None, "a  profit", "q599q3"]

@@ -1,6 +1,5 @@
 import __spark_entry__ as entry
-from tests.llm.fixtures import write
-from tests.whole import whole
+from tests.whole import whole, write
 
 
 def test_evidence_rows_of_all_documents(spark):

@@ -18,3 +18,10 @@ def whole(spark, name, *cuts, folder=FOLDER):
     names = [d[0] for d in want.description]
     got = entry.queries()[name](spark, folder)
     return rows(got.columns, [tuple(r) for r in got.collect()]), rows(names, want.fetchall())
+
+
+def write(spark, path, texts):
+    """A folder with documents of these texts, numbered from 0."""
+    rows = [(i, t, None, "src0", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    return str(path)
