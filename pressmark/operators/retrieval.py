@@ -131,47 +131,77 @@ def doubles(c: str) -> Column:
 
 def dense_top(vectors: DataFrame, key: str, column: str, query: DataFrame, k: int) -> DataFrame:
     """The k nearest by cosine to the one vector of query (column ``v``): a scan, no index."""
-    scored = vectors.crossJoin(F.broadcast(query)).select(key, F.round(cosine(doubles(column), F.col("v")), 9).alias("score"))
+    asked = F.broadcast(query.select(F.col("v").alias("_asked")))  # one row
+    scored = vectors.select(key, doubles(column).alias("_vector")).crossJoin(asked).select(key, F.round(cosine(F.col("_vector"), F.col("_asked")), 9).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
 BLOCK = 2048  # vectors, and queries, that are multiplied at a time
 
 
-def dense_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
-    """query_key, key, score: the k nearest by cosine of every query, ties by key, in blocks of queries against blocks of vectors.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    Every vector goes to one task for each block of queries, never to one for each query, and only k rows
-    a query leave a task. A vector without length is like nothing (0).
+
+def _cosines(asks: np.ndarray, has: np.ndarray) -> np.ndarray:
+    unit = []
+    for m in (asks, has):
+        size = np.sqrt((m * m).sum(1, keepdims=True))
+        unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
+    return np.round(unit[0] @ unit[1].T, 9)
+
+
+def _dots(asks: np.ndarray, has: np.ndarray) -> np.ndarray:
+    return np.round(asks @ has.T, 9)
+
+
+def _agreements(asks: np.ndarray, has: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(asks), len(has)))
+    for w in range(asks.shape[1]):
+        out -= np.bitwise_count(asks[:, w, None] ^ has[None, :, w])
+    return out
+
+
+#: How a batch likens vectors: the type of their elements, and scores of queries against vectors (for packed signs less the bits that differ).
+MEASURES = {"cosine": ("double", _cosines), "dot": ("double", _dots), "hamming": ("bigint", _agreements)}
+
+
+def dense_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, query_key: str, k: int, measure: str = "cosine", group: str | None = None) -> DataFrame:
+    """query_key, key, score: the k best of every query by a measure, ties by key, in blocks of queries against blocks of vectors.
+
+    With ``group`` (a text column of vectors) the k best of each group, and the group's name. Every vector goes to
+    one task for each block of queries, never to one for each query, and only k rows a query and group leave a
+    task. A vector without length is like nothing (0); rows without a vector are left out on either side.
     """
+    element, likeness = MEASURES[measure]
+    vectors, queries = vectors.filter(F.col(column).isNotNull()), queries.filter(F.col(column).isNotNull())
     blocks_of = lambda n: max(1, -(-n // BLOCK))
     v_blocks, q_blocks = blocks_of(vectors.count()), blocks_of(queries.count())
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vectors.select(F.lit(None).cast(queries.schema[query_key].dataType).alias("q"), F.col(key).alias("key"), doubles(column).alias("v"), block(key, v_blocks).alias("x"), every(q_blocks).alias("y"))
-    rows = rows.unionByName(queries.select(F.col(query_key).alias("q"), F.lit(None).cast(vectors.schema[key].dataType).alias("key"), doubles(column).alias("v"), every(v_blocks).alias("x"), block(query_key, q_blocks).alias("y")))
+    v, none = F.col(column).cast(f"array<{element}>").alias("v"), F.lit(None)
+    named = (F.col(group) if group else none).cast("string").alias("g")
+    rows = vectors.select(none.cast(queries.schema[query_key].dataType).alias("q"), F.col(key).alias("key"), named, v, block(key, v_blocks).alias("x"), every(q_blocks).alias("y"))
+    rows = rows.unionByName(queries.select(F.col(query_key).alias("q"), none.cast(vectors.schema[key].dataType).alias("key"), none.cast("string").alias("g"), v, every(v_blocks).alias("x"), block(query_key, q_blocks).alias("y")))
     dealt = rows.repartition("x", "y").sortWithinPartitions(F.col("x"), F.col("y"), F.col("key").asc_nulls_first(), F.col("q"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solve(table: pa.Table) -> pa.RecordBatch | None:
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
             asks = table.filter(pc.is_null(table.column("key")))
             has = table.filter(pc.is_valid(table.column("key")))
             if not asks.num_rows or not has.num_rows:
-                return None
-            unit = []
-            for t in (asks, has):
-                flat = t.column("v").combine_chunks()
-                m = flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-                size = np.sqrt((m * m).sum(1, keepdims=True))
-                unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
-            score = np.round(unit[0] @ unit[1].T, 9)
-            # rows come by key, so a stable order breaks ties by key
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(asks.num_rows), best.shape[1])
-            out = [asks.column("q").take(pa.array(row)).combine_chunks(), has.column("key").take(pa.array(best.ravel())).combine_chunks(), pa.array(score[row, best.ravel()])]
-            return pa.record_batch([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], ["q", "key", "score"])
+                return
+            score = likeness(_matrix(asks.column("v")), _matrix(has.column("v")))
+            groups = pc.fill_null(has.column("g").combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            for g in np.unique(groups):
+                own = np.flatnonzero(groups == g)
+                # rows come by key, so a stable order breaks ties by key
+                best = own[np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]]
+                row, at = np.repeat(np.arange(asks.num_rows), best.shape[1]), best.ravel()
+                taken = [asks.column("q").take(pa.array(row)), has.column("key").take(pa.array(at)), has.column("g").take(pa.array(at))]
+                yield pa.record_batch([*[c.combine_chunks() for c in taken], pa.array(score[row, at])], ["q", "key", "g", "score"])
 
         for batch in batches:
             at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
@@ -179,17 +209,16 @@ def dense_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, q
             for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = batch.slice(i, j - i)
                 if held and (held[0].column("x")[0], held[0].column("y")[0]) != (part.column("x")[0], part.column("y")[0]):
-                    if found := solve(pa.Table.from_batches(held)):
-                        yield found
+                    yield from solve(pa.Table.from_batches(held))
                     held = []
                 held.append(part)
-        if held and (found := solve(pa.Table.from_batches(held))):
-            yield found
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
-    kinds = f"q {queries.schema[query_key].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, score double"
+    kinds = f"q {queries.schema[query_key].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, g string, score double"
     found = dealt.mapInArrow(nearest, kinds)
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).filter(F.col("r") <= k)
-    return best.select(F.col("q").alias(query_key), F.col("key").alias(key), "score")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q", "g").orderBy(F.desc("score"), "key"))).filter(F.col("r") <= k)
+    return best.select(F.col("q").alias(query_key), *([F.col("g").alias(group)] if group else []), F.col("key").alias(key), "score")
 
 
 def with_rank(scored: DataFrame, key: str, by: list[str], name: str, order: str = "score") -> DataFrame:

@@ -13,7 +13,7 @@ from pressmark.operators import evaluation as E
 from pressmark.operators import ranking as R
 from pressmark.operators import retrieval as S
 from pressmark.plans.registry import part, query
-from pressmark.plans.retrieval import TOKENS, _dense, _lexical
+from pressmark.plans.retrieval import TOKENS, _lexical, asking
 
 part("bmrank_docs", "bmrank_docs AS (SELECT doc_id AS doc, rank FROM @bmrank WHERE rank <= 50)")
 SIGNALS = {"scorn": [r"\bidiot\b", r"\bscum\b"], "worth": [r"\bworthless\b"], "the": [r"\bthe the\b"]}
@@ -36,11 +36,10 @@ def flt14(t):
     return R.capped(rows, ["item_id"], [R.hash_order("el", "k"), F.col("leaf")], 1).select("item_id", "leaf")
 
 
-@query("jn2_filtered_dense", "SELECT vec_id, round(score, 6) AS score FROM (SELECT doc_id AS vec_id, score FROM @densearm) JOIN documents ON doc_id = vec_id WHERE lang = 'en' ORDER BY score DESC, vec_id LIMIT 15")
+@query("jn2_filtered_dense", "SELECT q, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM @densepairs JOIN documents ON doc_id = vec_id WHERE lang = 'en') WHERE r <= 15")
 def jn2(t):
     allowed = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
-    q = t.embeddings.filter("vec_id = 0").select(S.doubles("embedding").alias("v"))
-    return S.dense_top(t.embeddings.join(allowed, "vec_id", "left_semi"), "vec_id", "embedding", q, 15).select("vec_id", F.round("score", 6).alias("score"))
+    return S.dense_batch(t.embeddings.join(allowed, "vec_id", "left_semi"), "vec_id", "embedding", asking(t), "q", 15).select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("jn9_unjudged_hits", "SELECT doc, rank FROM @bmrank_docs WHERE doc NOT IN (SELECT doc_id FROM labels)")
@@ -117,10 +116,10 @@ def wn12(t):
     return n.withColumn("start", F.explode(T.windows(F.col("n"), 100, 20))).select("doc_id", F.col("start").cast("long").alias("start"), F.least(F.col("start") + 100, F.col("n")).cast("long").alias("stop"))
 
 
-@query("tk3_cosine_rank", "SELECT doc_id AS vec_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM @densearm JOIN labels USING (doc_id) WHERE toxic = 1")
+@query("tk3_cosine_rank", "SELECT q, vec_id, rank FROM (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM @densepairs JOIN labels ON doc_id = vec_id WHERE toxic = 1) WHERE rank <= 25")
 def tk3(t):
-    pool = _dense(t).join(t.labels.filter("toxic = 1"), "doc_id", "left_semi")  # the judged pool of a question
-    return S.with_rank(pool, "doc_id", ["q"], "rank").select(F.col("doc_id").alias("vec_id"), "rank")
+    pool = t.embeddings.join(t.labels.filter("toxic = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")  # the judged pool
+    return S.with_rank(S.dense_batch(pool, "vec_id", "embedding", asking(t), "q", 25), "vec_id", ["q"], "rank").select("q", "vec_id", "rank")
 
 
 @query("sm2_stratified_interleave", """SELECT c_custkey, row_number() OVER (ORDER BY r, c_mktsegment) AS position FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('st' || c_custkey::VARCHAR), c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n, count(*) OVER () AS total FROM customer) WHERE r <= ceil(30.0 * n / total)""")

@@ -22,6 +22,9 @@ part("stats", "stats AS (SELECT count(*) AS n, sum(len(ts)) AS tokens FROM @toks
 part("dfs", "dfs AS (SELECT term, count(*) AS df FROM @postings GROUP BY term)")
 part("lexical", "lexical AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (tokens / n)))) AS score FROM @postings JOIN @dfs USING (term) JOIN @qterms USING (term), @stats GROUP BY doc_id)")
 part("vq", "vq AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)")
+part("vqs", "vqs AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)")
+part("densepairs", "densepairs AS (SELECT q, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, @vqs)")
+part("signpairs", "signpairs AS (SELECT q, vec_id, embedding, v, list_sum(list_transform(list_zip(embedding::DOUBLE[], v), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS distance FROM embeddings, @vqs)")
 part("densearm", "densearm AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, @vq)")
 part("bmrank", "bmrank AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 9) AS score FROM @lexical))")
 part("dnrank", "dnrank AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM @densearm)")
@@ -42,6 +45,11 @@ def _lexical(t):
     return S.bm25_once(t.documents, "doc_id", "text", asked(t)).select(F.lit("q1").alias("q"), "doc_id", F.round("score", 9).alias("score"))
 
 
+def asking(t):
+    """(q, embedding): the vectors that ask, every id divisible by 50."""
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
+
+
 def _dense(t):
     q = t.embeddings.filter("vec_id = 0").select(S.doubles("embedding").alias("v"))
     return t.embeddings.crossJoin(F.broadcast(q)).select(F.lit("q1").alias("q"), F.col("vec_id").alias("doc_id"), F.round(S.cosine(S.doubles("embedding"), F.col("v")), 9).alias("score"))
@@ -78,10 +86,9 @@ def rt4(t):
     return f.crossJoin(F.broadcast(S.collection(t.documents, "text"))).select("term", "df", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-@query("rt5_dense_top", "SELECT doc_id AS vec_id, round(score, 6) AS score FROM @densearm ORDER BY @densearm.score DESC, doc_id LIMIT 20")
+@query("rt5_dense_top", "SELECT q, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM @densepairs) WHERE r <= 20")
 def rt5(t):
-    q = t.embeddings.filter("vec_id = 0").select(S.doubles("embedding").alias("v"))
-    return S.dense_top(t.embeddings, "vec_id", "embedding", q, 20).select("vec_id", F.round("score", 6).alias("score"))
+    return S.dense_batch(t.embeddings, "vec_id", "embedding", asking(t), "q", 20).select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("rt6_normalised_rows", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 5) AS l1 FROM embeddings")
@@ -203,28 +210,32 @@ def rt23(t):
     return S.postings(t.documents, "doc_id", "text").filter(F.col("term").startswith("onhee")).select("doc_id").distinct()
 
 
-@query("rt25_int8_scores", """WITH sc AS (SELECT d, max(abs(x)) / 127 AS s FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d), m AS (SELECT list(s ORDER BY d) AS s FROM sc)
- SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], m.s, v), lambda z: CASE WHEN z[2] > 0 THEN round(z[1] / z[2]) * z[2] ELSE 0 END * z[3])), 5) AS score FROM embeddings, m, @vq""")
+@query("rt25_int8_scores", """WITH sc AS (SELECT d, max(abs(x)) / 127 AS s FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d), m AS (SELECT list(s ORDER BY d) AS s FROM sc),
+ p AS (SELECT q, vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], m.s, v), lambda z: CASE WHEN z[2] > 0 THEN round(z[1] / z[2]) * z[2] ELSE 0 END * z[3])), 9) AS score FROM embeddings, m, @vqs)
+ SELECT q, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 20""")
 def rt25(t):
-    one = S.int8_scales(t.embeddings, "embedding").crossJoin(t.embeddings.filter("vec_id = 0").select(S.doubles("embedding").alias("v")))
-    codes = S.int8_codes(S.doubles("embedding"), F.col("scales"))
-    approx = F.zip_with(codes, F.col("scales"), lambda c, s: c * s)
-    return t.embeddings.crossJoin(F.broadcast(one)).select("vec_id", F.round(S.dot(approx, F.col("v")), 5).alias("score"))
+    coded = t.embeddings.crossJoin(F.broadcast(S.int8_scales(t.embeddings, "embedding")))  # one row
+    approx = F.zip_with(S.int8_codes(S.doubles("embedding"), F.col("scales")), F.col("scales"), lambda c, s: c * s)
+    return S.dense_batch(coded.select("vec_id", approx.alias("embedding")), "vec_id", "embedding", asking(t), "q", 20, "dot").select("q", "vec_id", F.round("score", 5).alias("score"))
 
 
-@query("rt26_hamming", "SELECT vec_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], v), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS distance FROM embeddings, @vq")
+@query("rt26_hamming", "SELECT q, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS r FROM @signpairs) WHERE r <= 20")
 def rt26(t):
-    q = t.embeddings.filter("vec_id = 0").select(S.sign_words(S.doubles("embedding")).alias("w"))
-    return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", S.hamming(S.sign_words(S.doubles("embedding")), F.col("w")).alias("distance"))
+    return _by_signs(t, 20).select("q", "vec_id", (-F.col("score")).cast("int").alias("distance"))
+
 
+def _by_signs(t, k: int):
+    """The k vectors of every asking one whose packed signs differ in the fewest bits."""
+    words = S.sign_words(S.doubles("embedding")).alias("words")
+    return S.dense_batch(t.embeddings.select("vec_id", words), "vec_id", "words", asking(t).select("q", words), "q", k, "hamming")
 
-@query("rt27_binary_rescore", """WITH h AS (SELECT vec_id, embedding, list_sum(list_transform(list_zip(embedding::DOUBLE[], v), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT)) AS d FROM embeddings, @vq ORDER BY d, vec_id LIMIT 50)
- SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM h, @vq ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], v), 9) DESC, vec_id LIMIT 10""")
+
+@query("rt27_binary_rescore", """SELECT q, vec_id, round(score, 6) AS score FROM (SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM (
+ SELECT q, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS s FROM @signpairs) WHERE s <= 50)) WHERE r <= 10""")
 def rt27(t):
-    q = t.embeddings.filter("vec_id = 0").select(S.doubles("embedding").alias("v"))
-    near = t.embeddings.crossJoin(F.broadcast(q)).withColumn("d", S.hamming(S.sign_words(S.doubles("embedding")), S.sign_words(F.col("v"))))
-    short = near.orderBy("d", "vec_id").limit(50)
-    return S.dense_top(short.select("vec_id", "embedding"), "vec_id", "embedding", q, 10).select("vec_id", F.round("score", 6).alias("score"))
+    short = _by_signs(t, 50).select("q", "vec_id").join(t.embeddings.select("vec_id", S.doubles("embedding").alias("e")), "vec_id").join(asking(t).select("q", S.doubles("embedding").alias("v")), "q")
+    scored = short.select("q", "vec_id", F.round(S.cosine(F.col("e"), F.col("v")), 9).alias("score"))
+    return S.with_rank(scored, "vec_id", ["q"], "rank").filter("rank <= 10").select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("rt29_stub_embedding", None)
@@ -232,10 +243,11 @@ def rt29(t):
     return t.benchmark.select("item_id", S.stub_embedding(T.tokens("text"), 16).alias("v"))
 
 
-@query("wn13_max_sim", "SELECT label, round(max(list_cosine_similarity(embedding::DOUBLE[], v)), 6) AS best FROM embeddings, @vq GROUP BY label")
+@query("wn13_max_sim", "SELECT q, label, round(max(score), 6) AS best FROM @densepairs GROUP BY q, label")
 def wn13(t):
-    q = t.embeddings.filter("vec_id = 0").select(S.doubles("embedding").alias("v"))
-    return t.embeddings.crossJoin(F.broadcast(q)).groupBy("label").agg(F.round(F.max(S.cosine(S.doubles("embedding"), F.col("v"))), 6).alias("best"))
+    named = t.embeddings.withColumn("owner", F.col("label").cast("string"))
+    best = S.dense_batch(named, "vec_id", "embedding", asking(t), "q", 1, group="owner")
+    return best.select("q", F.col("owner").cast(t.embeddings.schema["label"].dataType).alias("label"), F.round("score", 6).alias("best"))
 
 
 @query("rt12_question_constraints", "SELECT * FROM (VALUES ('Between 1974 and 1980, what changed?', [[1974, 1980]], NULL::INT, []::VARCHAR[]), ('as of 1999 in the 1960s', [[1960, 1969]], 1999, []), ('1974-1979 then 1985', [[1974, 1979], [1985, 1985]], NULL, [])) v(q, years, as_of, places)")

@@ -10,7 +10,7 @@ from pressmark.operators import evaluation as E
 from pressmark.operators import retrieval as S
 from pressmark.operators import reviewing as V
 from pressmark.plans.registry import part, query, scratch
-from pressmark.plans.retrieval import TOKENS, asked, question_terms
+from pressmark.plans.retrieval import TOKENS, asked, asking, question_terms
 
 BASE = "https://example.org/details"
 
@@ -98,15 +98,13 @@ def rt28(t):
 
 @query("tk1_exact_top", """SELECT q, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE r <= 5""")
 def tk1(t):
-    queries = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
-    return S.dense_batch(t.embeddings, "vec_id", "embedding", queries, "q", 5).select("q", "vec_id", F.round("score", 6).alias("score"))
+    return S.dense_batch(t.embeddings, "vec_id", "embedding", asking(t), "q", 5).select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("jn7_allowed_dense", """SELECT q, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) b WHERE a.vec_id % 50 = 0) WHERE r <= 5""")
 def jn7(t):
     allowed = t.embeddings.join(t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    queries = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
-    return S.dense_batch(allowed, "vec_id", "embedding", queries, "q", 5).select("q", "vec_id", F.round("score", 6).alias("score"))
+    return S.dense_batch(allowed, "vec_id", "embedding", asking(t), "q", 5).select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("ag38_approximate_distinct", "SELECT lang, count(DISTINCT text) AS texts, true AS near FROM documents GROUP BY lang")
