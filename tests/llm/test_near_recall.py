@@ -57,3 +57,28 @@ def test_sketches_meet_by_similarity():
         met.setdefault(int(20 * m / (n - m)), []).append(bool((s[0] == s[1]).any()))
     assert sum(map(len, met.values())) > 150 and min(met) == 16
     assert all(np.mean(x) >= 0.999 for x in met.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_no_link_of_whole_sets_is_lost(spark):
+    """Every two texts whose sets of five-word shingles have a Jaccard of 0.8 or more are in one class, over all pairs."""
+    import re
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    df = Counter(x for s in sets.values() for x in s)
+    rare, links = defaultdict(list), []
+    for i, s in sets.items():  # two such sets have one of the rarest fifth in common
+        first = sorted(s, key=lambda x: (df[x], x))[: len(s) // 5 + 1]
+        for j in {j for x in first for j in rare[x]}:
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                links.append((i, j))
+        for x in first:
+            rare[x].append(i)
+    classes = {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
+    assert len(links) > 50
+    assert [p for p in links if classes[p[0]] != classes[p[1]]] == []
