@@ -338,6 +338,20 @@ def dealt(known: DataFrame) -> DataFrame:
     return rows.select("a", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "b", "root", "side")
 
 
+def by_root(rows: DataFrame, per_root: DataFrame, how: str) -> DataFrame:
+    """rows (digest, root, ...) joined with one row of each root; a class with over a thousandth of all rows is dealt to as many tasks as thousandths.
+
+    Fewer than ``HEAVY`` classes are that large, so they may be broadcast.
+    """
+    total = rows.agg(F.count("*").alias("total"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("k")).crossJoin(F.broadcast(total))  # one row
+    heavy = F.broadcast(sizes.select("root", F.ceil(F.col("k") * HEAVY / F.col("total")).cast("int").alias("salts")).filter("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = rows.join(heavy, "root", "left").withColumn("salt", F.pmod(F.xxhash64("digest"), salts).cast("int")).drop("salts")
+    dealt_out = per_root.join(heavy, "root", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return salted.join(dealt_out, ["root", "salt"], how).drop("salt")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """digest, root: the class (its least digest) of every text that is linked to another text."""
     text = F.coalesce("text", F.lit(""))
@@ -365,7 +379,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # links between classes: their components join the classes
     joined = connected(more).toDF("root", "above")
     every = roots.withColumnRenamed("v", "digest").unionByName(joined.select(F.col("root").alias("digest"), "root"))
-    return every.join(joined, "root", "left").select("digest", F.coalesce("above", "root").alias("root"))
+    return by_root(every, joined, "left").select("digest", F.coalesce("above", "root").alias("root"))
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -388,7 +402,7 @@ def _first(per_text: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of docs."""
     per_text = checkpointed(_rooted(docs))
-    of_text = per_text.join(_first(per_text), "root").select("digest", "copies", F.col("m.least").alias("class_id"))
+    of_text = by_root(per_text, _first(per_text), "inner").select("digest", "copies", F.col("m.least").alias("class_id"))
     # a text with over a thousandth of all rows is dealt to as many tasks as thousandths: at most HEAVY texts, so they may be broadcast
     total = per_text.agg(F.sum("copies").alias("total"))
     salts = F.ceil(F.col("copies") * HEAVY / F.col("total")).cast("int")

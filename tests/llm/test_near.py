@@ -161,3 +161,15 @@ def test_columns_of_the_same_names_stay(spark):
         assert out.columns == own.columns
         rows = out.collect()
         assert len(rows) == n and all(x[c] == "mine" for x in rows for c in ("_digest", "_runs", "digest", "text_digest", "held_by", "spans_cut"))
+
+
+def test_a_large_class_is_dealt_out(spark):
+    """A join by root whose large class is dealt out gives the rows of the plain join."""
+    from pressmark.llm.order_minhash import by_root
+
+    rows = spark.range(5000).selectExpr("id AS digest", "IF(id < 3000, 1L, id) AS root")
+    roots = spark.range(4000).selectExpr("id AS root", "-id AS above")
+    for how in ("left", "inner"):
+        got = by_root(rows, roots, how)
+        assert sorted(map(str, got.select("digest", "root", "above").collect())) == sorted(map(str, rows.join(roots, "root", how).select("digest", "root", "above").collect()))
+    assert by_root(rows.limit(0), roots, "left").count() == 0 and by_root(rows, roots.limit(0), "left").count() == 5000
