@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality_crf", "quality_rules", "bpe_tree", "packing", "prefix_hash", "chat_parts", "html_crf", "license_index", "suffix_dedup", "order_minhash", "covering_simhash", "turn_trie")
+_MODULES = ("quality_crf", "quality_rules", "bpe_tree", "packing", "prefix_hash", "chat_parts", "html_crf", "license_index", "suffix_dedup", "order_minhash", "covering_simhash", "turn_trie", "whitening")
 
 
 def queries() -> dict:
