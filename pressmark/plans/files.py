@@ -14,6 +14,7 @@ from pressmark.operators import packing as K
 from pressmark.plans.registry import query, scratch
 from pressmark.plans.retrieval import TOKENS
 from pressmark.sources import readers, search, sinks, web
+from pressmark.sources.snapshots import Snapshots
 from pressmark.streaming import flows
 
 LINE = "doc_id long, lang string, text string, kind string"
@@ -281,12 +282,36 @@ def mx62(t):
 
 @query("snk1_replaced_partitions", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version FROM orders")
 def snk1(t):
-    path = scratch(t.spark, "corpus")
-    rows = t.orders.select("o_orderkey", "o_orderstatus")
-    sinks.replace_partitions(rows.withColumn("version", F.lit(1)), path, "o_orderstatus")
+    rows = t.orders.select("o_orderkey", "o_orderstatus", F.lit(1).alias("version"))
+    corpus = _corpus(t, rows, ["o_orderkey"])
     for _ in range(2):
-        sinks.replace_partitions(rows.filter("o_orderstatus = 'F'").withColumn("version", F.lit(2)), path, "o_orderstatus")
-    return t.spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "version")
+        corpus.replace(rows.filter("o_orderstatus = 'F'").withColumn("version", F.lit(2)))
+    return corpus.read()
+
+
+def _corpus(t, rows, key, **more):
+    """A table of versions that holds rows as version 1."""
+    table = Snapshots.create(t.spark, scratch(t.spark, "corpus"), rows.schema, key, 16, **more)
+    table.append(rows)
+    return table
+
+
+@query("snk1_item_versions", """SELECT 1 AS version, count(*) AS leaves, count(DISTINCT l_orderkey) AS items, sum(l_quantity)::BIGINT AS quantity FROM lineitem
+ UNION ALL SELECT 2, count(*), count(DISTINCT k), sum(q)::BIGINT FROM (SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 10 = 0)
+ UNION ALL SELECT 3, count(*), count(DISTINCT k), sum(q)::BIGINT FROM (SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 NOT IN (0, 3) UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 10 = 0)""")
+def snk1_versions(t):
+    leaves = t.lineitem.select("l_orderkey", F.col("l_quantity").cast("double").alias("quantity"))
+    corpus = _corpus(t, leaves, ["l_orderkey"])
+    corpus.replace(t.orders.filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1.0).alias("quantity")))
+    corpus.delete(t.orders.filter("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("l_orderkey")))
+    counted = lambda v: corpus.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("leaves"), F.countDistinct("l_orderkey").alias("items"), F.sum("quantity").cast("long").alias("quantity"))
+    return counted(1).unionByName(counted(2)).unionByName(counted(3))
+
+
+@query("snk1_resumed_items", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+def snk1_resumed(t):
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    return _corpus(t, rows.filter("o_orderstatus = 'F'"), ["o_orderkey"]).missing(rows).select("o_orderkey")
 
 
 @query("snk2_decade_exports", "SELECT decade, count(*) AS n, sum(('0x' || sha256(item_id)[1:14])::HUGEINT)::VARCHAR AS digest FROM (SELECT item_id, coalesce((year // 10 * 10)::VARCHAR || 's', 'undated') AS decade FROM @items) GROUP BY decade")
@@ -305,16 +330,31 @@ def snk3(t):
     return t.spark.read.option("header", True).csv(path).select("o_orderpriority", F.col("n").cast("long").alias("n"))
 
 
-@query("snk4_bucketed_index", "SELECT term, shard, df FROM @sharddf")
-def snk4(t):
+def _sharded(t):
+    """term, shard, df and shard, passages, tokens of documents by language."""
     from pressmark.operators.retrieval import postings
 
-    path = scratch(t.spark, "buckets")
     post = postings(t.documents, "doc_id", "text").join(t.documents.select("doc_id", F.col("lang").alias("shard")), "doc_id")
-    sinks.bucketed_index(post.groupBy("term", "shard").agg(F.count("*").alias("df")), 16, path)
+    held = t.documents.groupBy(F.col("lang").alias("shard")).agg(F.count("*").alias("passages"), F.sum(F.size(T.tokens("text"))).alias("tokens"))
+    return post.groupBy("term", "shard").agg(F.count("*").alias("df")), held
+
+
+@query("snk4_bucketed_index", "SELECT term, shard, df FROM @sharddf")
+def snk4(t):
+    path = scratch(t.spark, "buckets")
+    df, held = _sharded(t)
+    sinks.bucketed_index(df.filter("shard = 'en'"), 16, path, held.filter("shard = 'en'"))
+    sinks.bucketed_index(df, 16, path, held)  # the pointer now names this one
     return sinks.read_index(t.spark, path)
 
 
+@query("snk4_index_pointer", "SELECT count(*) AS terms, sum(('0x' || sha256(line)[1:14])::HUGEINT)::VARCHAR AS digest, any_value(n) AS passages, any_value(k)::BIGINT AS tokens FROM (SELECT term || chr(9) || string_agg(shard || ':' || df::VARCHAR, ',' ORDER BY shard) AS line FROM @sharddf GROUP BY term), (SELECT sum(passages) AS n, sum(tokens) AS k FROM @shards)")
+def snk4_pointer(t):
+    df, held = _sharded(t)
+    said = sinks.bucketed_index(df, 16, scratch(t.spark, "buckets"), held)
+    return t.spark.createDataFrame([(said["terms"], said["digest"], said["N"], said["tokens"])], "terms long, digest string, passages long, tokens long")
+
+
 @query("snk5_vector_artifact", """SELECT count(*) AS rows, any_value(len(embedding))::INT AS dim, sum(('0x' || sha256(vec_id::VARCHAR || ':' || array_to_string(list_transform(embedding::DOUBLE[], lambda x: round(x * 1000000)::BIGINT::VARCHAR), ','))[1:14])::HUGEINT)::VARCHAR AS digest FROM embeddings""")
 def snk5(t):
     return sinks.vectors(t.embeddings, "vec_id", "embedding", scratch(t.spark, "vectors"))

@@ -10,7 +10,8 @@ from pressmark.functions import text as T
 from pressmark.operators import matching as M
 from pressmark.operators import ranking as R
 from pressmark.operators import upserts as U
-from pressmark.plans.registry import part, query
+from pressmark.plans.registry import part, query, scratch
+from pressmark.sources.snapshots import Snapshots
 
 part("hits", "hits AS (SELECT p_brand AS phrase, 'i' || p_partkey::VARCHAR AS item_id, p_type AS issuer, 1960 + p_size AS year FROM part)")
 part("pagenums", """pagenums AS (SELECT 'o' || o_orderkey::VARCHAR AS page_id, 'c' || o_custkey::VARCHAR AS item_id, o_orderpriority AS jurisdiction, year(o_orderdate)::INT AS year,
@@ -322,6 +323,56 @@ def op_u3(t):
     return U.merge_keep(old, new, "k", keep=["first_seen"])
 
 
+def _kept(t, rows, key, **more):
+    """A table of versions with rows as its first."""
+    table = Snapshots.create(t.spark, scratch(t.spark, "log"), rows.schema, key, 16, **more)
+    table.append(rows)
+    return table
+
+
+_FIRST = "SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 2 = {0}"
+
+
+@query("op_u1_log_replace", f"""SELECT user_id, event_type, coalesce(b.value, a.value) AS value, coalesce(b.event_id, a.event_id) AS event_id FROM (SELECT * FROM ({_FIRST.format(0)}) WHERE r = 1) a FULL JOIN (SELECT * FROM ({_FIRST.format(1)}) WHERE r = 1) b USING (user_id, event_type)""")
+def op_u1_log(t):
+    rows = t.events.select("user_id", "event_type", "value", "event_id", "ts")
+    order = [F.desc("ts"), F.desc("event_id")]
+    table = _kept(t, U.latest(rows.filter("event_id % 2 = 0"), ["user_id", "event_type"], order), ["user_id", "event_type"])
+    table.upsert(rows.filter("event_id % 2 = 1"), order)
+    return table.read().select("user_id", "event_type", "value", "event_id")
+
+
+@query("op_u2_log_ignore", "SELECT c_custkey AS k, 'old' AS source FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def op_u2_log(t):
+    table = _kept(t, t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit("old").alias("source")), ["k"])
+    for _ in range(2):
+        table.insert_missing(t.orders.select(F.col("o_custkey").alias("k"), F.lit("new").alias("source")))
+    return table.read()
+
+
+@query("op_u3_log_first_seen", """SELECT coalesce(a.k, b.k) AS k, coalesce(a.seen, b.seen) AS first_seen, coalesce(b.v, a.v) AS v FROM (SELECT user_id AS k, min(ts) AS seen, min(value) AS v FROM events WHERE event_type = 'signup' GROUP BY 1) a
+ FULL JOIN (SELECT user_id AS k, max(ts) AS seen, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1) b ON a.k = b.k""")
+def op_u3_log(t):
+    of = lambda kind, how: t.events.filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("k")).agg(how("ts").alias("first_seen"), how("value").alias("v"))
+    table = _kept(t, of("signup", F.min), ["k"])
+    table.merge_keep(of("click", F.max), ["first_seen"])
+    return table.read()
+
+
+@query("op_u7_log_append_only", "SELECT event_id, CASE WHEN event_type = 'click' THEN 2 ELSE 1 END AS appended FROM events")
+def op_u7_log(t):
+    rows = t.events.select("event_id", F.when(F.col("event_type") == "click", 2).otherwise(1).alias("appended"))
+    trail = _kept(t, rows.filter("appended = 1"), ["event_id"], append_only=True)
+    for change in (trail.delete, trail.replace):
+        try:
+            change(rows)
+        except PermissionError:
+            continue
+        raise AssertionError("a trail was changed")
+    trail.append(rows.filter("appended = 2"))
+    return trail.read()
+
+
 @query("op_u4_daily_budget", "SELECT d AS day, used, used <= 200 AS within FROM (SELECT ts::DATE AS d, count(*) AS used FROM events GROUP BY 1)")
 def op_u4(t):
     return U.daily_budget(t.events, "ts", 200)

@@ -110,3 +110,18 @@ def test_streams(spark, tmp_path):
     allowed = run(flows.limited(flows.folder_stream(spark, src, rows.schema), "user_id", "ts", 1 / 120, 2.0), "lim")
     assert [r.allowed for r in sorted(allowed, key=lambda r: r.event_id)] == [True, True, True, False, True, False]
     assert len(run(flows.first_seen(flows.folder_stream(spark, src, rows.schema), "ts", "1 hour", "user_id"), "fs")) == 1
+
+
+def test_an_index_is_there_once_its_pointer_is(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "i")
+    df = spark.createDataFrame([("x", "s:1", 3), ("x", "s0", 2), ("y", "s:1", 1), ("a\tb", "s0", 1)], "term string, shard string, df long")
+    shards = spark.createDataFrame([("s:1", 4, 40), ("s0", 6, 20)], "shard string, passages long, tokens long")
+    said = sinks.bucketed_index(df, 4, root, shards)
+    assert (said["N"], said["tokens"], said["avgdl"], said["terms"]) == (10, 60, 6.0, 2)
+    with monkeypatch.context() as m:
+        m.setattr(sinks.Store, "put", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            sinks.bucketed_index(df.filter("term = 'y'"), 4, root, shards)
+    assert {tuple(r) for r in sinks.read_index(spark, root).collect()} == {("x", "s:1", 3), ("x", "s0", 2), ("y", "s:1", 1)}
+    assert {tuple(r) for r in sinks.read_index(spark, root, ["y", "none"]).collect()} == {("y", "s:1", 1)}
+    assert sinks.bucketed_index(df.repartition(3), 4, root, shards)["digest"] == said["digest"]
