@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressmark.operators.ordering import bins, numbered
+
 
 def plan_shards(docs: DataFrame, target: float, pool_below: float) -> DataFrame:
-    """item_id, shard: documents of a place in order of year filled into shards of about ``target``.
+    """item_id, shard, shard_id, first_year, last_year, split_year: documents of a place in order of year filled into shards of ``target``.
 
-    docs: item_id, place, year, size. Places smaller than ``pool_below`` together are "other".
-    A running total that starts anew is a fold: each place's rows pass one task in order,
-    which holds a running total and the names given so far, one for each year of a place.
+    docs: item_id, place (null: unknown), year, size. Places smaller than ``pool_below`` together are "other". Dated documents come
+    first, by year and id, then the undated in shards of their own. ``shard`` names a shard by its first year, ``shard_id`` by
+    its years; both number those that would have the same name. A year is split where one shard ends and the next begins
+    with it. Places are filled by ``ordering.bins``: no task holds one.
     """
-    totals = docs.groupBy("place").agg(F.sum("size").alias("_t"))
-    pooled = docs.join(totals, "place").withColumn("place", F.when(F.col("_t") < pool_below, "other").otherwise(F.col("place"))).drop("_t")
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seen, filled, name, group = None, {}, 0.0, None, None
-        for batch in batches:
-            names = []
-            for where, year, size in zip(*(batch.column(c).to_pylist() for c in ("place", "year", "size"))):
-                if where != place or not names and name is None:
-                    place, seen, name = where, {}, None
-                if name is None or (year is not None) != group or filled + size > target:
-                    base = f"{place}-{year}" if year is not None else f"{place}-undated"
-                    seen[base] = seen.get(base, 0) + 1
-                    name, filled, group = base if seen[base] == 1 else f"{base}-{seen[base]}", 0.0, year is not None
-                names.append(name)
-                filled += size
-            yield pa.record_batch([batch.column("item_id"), pa.array(names, pa.string())], ["item_id", "shard"])
-
-    rows = pooled.select("item_id", "place", F.col("year").cast("int").alias("year"), F.col("size").cast("double").alias("size"))
-    return rows.repartition("place").sortWithinPartitions(F.col("place"), F.col("year").asc_nulls_last(), F.col("item_id")).mapInArrow(fill, "item_id string, shard string")
+    known = docs.select("item_id", F.coalesce("place", F.lit("unknown")).alias("place"), F.col("year").cast("int").alias("year"), "size")
+    totals = known.groupBy("place").agg(F.sum("size").alias("_t"))
+    pooled = known.join(totals, "place").withColumn("place", F.when(F.col("_t") < pool_below, "other").otherwise(F.col("place"))).drop("_t")
+    segment = F.concat("place", F.lit("\n"), F.when(F.col("year").isNull(), "1").otherwise("0"))
+    filled = bins(pooled.withColumn("segment", segment), "segment", ["year", "item_id"], "size", target)
+    shards = filled.groupBy("bin").agg(F.min("segment").alias("segment"), F.min("place").alias("place"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    undated = F.col("first_year").isNull()
+    named = shards.withColumn("base", F.concat("place", F.lit("-"), F.when(undated, "undated").otherwise(F.col("first_year").cast("string"))))
+    named = named.withColumn("base_id", F.when(undated, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("last_year").cast("string"))))
+    for base, name in (("base", "shard"), ("base_id", "shard_id")):  # shards of one name: a year of a place
+        k = F.row_number().over(Window.partitionBy(base).orderBy("bin"))
+        named = named.withColumn(name, F.when(k == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), k.cast("string"))))
+    placed = numbered(named, ["bin"], "k")
+    beside = lambda step, year: placed.select((F.col("k") + step).alias("k"), F.col("segment").alias("s"), F.col(year).alias("y"))
+    split = lambda step, theirs, own: placed.join(beside(step, theirs), "k").filter((F.col("s") == F.col("segment")) & (F.col("y") == F.col(own))).select("bin")
+    both = split(1, "last_year", "first_year").union(split(-1, "first_year", "last_year")).distinct().withColumn("split_year", F.lit(True))
+    told = placed.join(both, "bin", "left").select("bin", "shard", "shard_id", "first_year", "last_year", F.coalesce("split_year", F.lit(False)).alias("split_year"))
+    return filled.select("item_id", "bin").join(told, "bin").drop("bin")
 
 
 def uncovered(spans: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:

@@ -333,10 +333,18 @@ def mx106(t):
     return K.manifest(wanted, found, "o_orderkey", "sum", "found")
 
 
-@query("wn9_sequential_packing", None)
+@query("wn9_sequential_packing", """SELECT item_id, shard, shard_id, split_year FROM (WITH RECURSIVE pooled AS (SELECT item_id, CASE WHEN sum(amount / 1000) OVER (PARTITION BY jurisdiction) < 5000 THEN 'other' ELSE jurisdiction END AS place, year, round(amount / 1000 * 1000000)::BIGINT AS size FROM @items),
+ d AS (SELECT *, row_number() OVER (PARTITION BY place, year IS NULL ORDER BY year, item_id) AS n FROM pooled),
+ f AS (SELECT place, year IS NULL AS undated, n, size AS filled, 1 AS bin FROM d WHERE n = 1
+  UNION ALL SELECT d.place, f.undated, d.n, CASE WHEN f.filled + d.size > 2000000000 THEN d.size ELSE f.filled + d.size END, f.bin + (f.filled + d.size > 2000000000)::INT FROM f JOIN d ON d.place = f.place AND (d.year IS NULL) = f.undated AND d.n = f.n + 1),
+ b AS (SELECT place, undated, bin, min(year) AS y1, max(year) AS y2 FROM f JOIN d USING (place, n) WHERE (d.year IS NULL) = undated GROUP BY ALL),
+ c AS (SELECT *, place || '-' || coalesce(y1::VARCHAR, 'undated') AS base, place || '-' || coalesce(y1::VARCHAR || '-' || y2::VARCHAR, 'undated') AS base_id, coalesce(y1 = lag(y2) OVER w, false) OR coalesce(y2 = lead(y1) OVER w, false) AS split_year FROM b WINDOW w AS (PARTITION BY place, undated ORDER BY bin)),
+ e AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY undated, bin) AS k, row_number() OVER (PARTITION BY base_id ORDER BY undated, bin) AS k_id FROM c)
+ SELECT item_id, base || CASE WHEN k > 1 THEN '-' || k::VARCHAR ELSE '' END AS shard, base_id || CASE WHEN k_id > 1 THEN '-' || k_id::VARCHAR ELSE '' END AS shard_id, split_year
+ FROM f JOIN d ON d.place = f.place AND d.n = f.n AND (d.year IS NULL) = f.undated JOIN e ON e.place = f.place AND e.undated = f.undated AND e.bin = f.bin)""")
 def wn9(t):
     docs = t.items.select("item_id", F.col("jurisdiction").alias("place"), "year", (F.col("amount") / 1000).alias("size"))
-    return K.plan_shards(docs, 2000.0, 5000.0)
+    return K.plan_shards(docs, 2000.0, 5000.0).select("item_id", "shard", "shard_id", "split_year")
 
 
 @query("mx90_allowed_years", "SELECT jurisdiction, list_sort(list(DISTINCT year)) AS years FROM @items WHERE year IS NOT NULL GROUP BY 1")

@@ -12,6 +12,7 @@ from pressmark.operators import care as C
 from pressmark.operators import evaluation as E
 from pressmark.operators import ranking as R
 from pressmark.operators import retrieval as S
+from pressmark.operators.ordering import list_digests, numbered
 from pressmark.plans.registry import part, query
 from pressmark.plans.retrieval import TOKENS, _lexical, asking
 
@@ -291,7 +292,7 @@ def mx2(t):
 def mx5(t):
     n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     rows = t.customer.filter("c_mktsegment = 'BUILDING'").join(n, "c_custkey")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("c_acctbal"), "c_custkey"))).select("c_custkey", "place")
+    return numbered(rows.select("c_custkey", "n", "c_acctbal"), [F.desc("n"), F.desc("c_acctbal"), "c_custkey"]).select("c_custkey", (F.col("place") + 1).alias("place"))
 
 
 @query("mx8_split_by_contract", "SELECT c_acctbal >= 0 AS kept, count(*) AS n FROM customer GROUP BY 1")
@@ -304,7 +305,9 @@ def mx8(t):
 
 @query("mx13_plan_summary", "SELECT jurisdiction, count(*) AS documents, round(sum(amount) / 1e6, 4) AS size, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS members FROM @items GROUP BY 1")
 def mx13(t):
-    return t.items.groupBy("jurisdiction").agg(F.count("*").alias("documents"), F.round(F.sum("amount") / 1e6, 4).alias("size"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("members"))
+    items = t.items.select("jurisdiction", "item_id", "amount")
+    sizes = items.groupBy("jurisdiction").agg(F.count("*").alias("documents"), F.round(F.sum("amount") / 1e6, 4).alias("size"))
+    return sizes.join(list_digests(items, "jurisdiction", "item_id"), "jurisdiction").select("jurisdiction", "documents", "size", F.col("digest").alias("members"))
 
 
 @query("mx18_bucket_parse", "SELECT p_partkey, string_split(e, ':')[1] AS shard, string_split(e, ':')[2]::BIGINT AS df FROM (SELECT p_partkey, unnest(string_split('s1:' || p_size::VARCHAR || ' s2:' || p_partkey::VARCHAR, ' ')) AS e FROM part)")
