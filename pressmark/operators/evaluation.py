@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,28 +78,81 @@ def confusion(pairs: DataFrame, a: str, b: str, values: list) -> DataFrame:
     return pairs.groupBy(F.col(a).alias("truth")).pivot(b, values).count().na.fill(0)
 
 
-MOST_UNITS = 1_000_000  # units that a bootstrap resamples: the questions, answers or clusters of an evaluation
-
-
 def bootstrap(rows: DataFrame, key: str, num: str, den: str, resamples: int, seed: str, strata: str | None = None) -> DataFrame:
     """One row: the ratio of sums with the 2.5 and 97.5 percentiles over resamples of the rows (clusters, or paired differences).
 
-    rows: one row for each unit, ``MOST_UNITS`` at most (more is an error); their draws are spread over the
-    cluster. With ``strata`` units are drawn again within each stratum.
+    rows: one row for each unit. With ``strata`` units are drawn again within each stratum. Every resample draws as many units as there
+    are, so this makes resamples x units rows: for the questions, answers or clusters of an evaluation. ``poisson_bootstrap``
+    does with one pass over any number of units.
     """
     by = F.col(strata).cast("string") if strata else F.lit("")
     units = rows.select(by.alias("stratum"), key, num, den)
     sizes = units.groupBy("stratum").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("all_units")).select(F.when(F.col("all_units") > MOST_UNITS, F.raise_error(F.lit(f"a bootstrap takes {MOST_UNITS} units at most"))).otherwise(F.lit(True)).alias("sound"))
-    sizes = sizes.crossJoin(F.broadcast(total)).filter("sound")  # one row
     numbered = units.withColumn("i", F.row_number().over(Window.partitionBy("stratum").orderBy(key)) - 1)
-    draws = rows.sparkSession.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(sizes)).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))  # a row a stratum
+    draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     h = F.sha2(F.concat(F.lit(seed), F.col("stratum"), F.col("r").cast("string"), F.lit(":"), F.col("p").cast("string")), 256)
-    picked = draws.select("r", "stratum", F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), F.col("n")).alias("i")).join(F.broadcast(numbered), ["stratum", "i"])
+    picked = draws.select("r", "stratum", F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), F.col("n")).alias("i")).join(numbered, ["stratum", "i"])
     values = picked.groupBy("r").agg((F.sum(num) / F.sum(den)).alias("v"))
-    point = rows.agg((F.sum(num) / F.sum(den)).alias("value"))
+    return _interval(rows.agg((F.sum(num) / F.sum(den)).alias("value")), values)
+
+
+def _interval(point: DataFrame, values: DataFrame) -> DataFrame:
+    """value, low, high from one row and the values of the resamples."""
     spread = values.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
-    return point.crossJoin(spread).select(*[F.round(c, 6).alias(c) for c in ("value", "low", "high")])
+    return point.crossJoin(spread).select(*[F.round(c, 6).alias(c) for c in ("value", "low", "high")])  # one row each
+
+
+def poisson_steps(bits: int = 16) -> list[int]:
+    """From which of 2 ** bits equally likely numbers on a draw from Poisson(1) is over 0, 1, 2 ..."""
+    out, term, total = [], math.exp(-1.0), 0.0
+    for k in range(1, 64):
+        total += term
+        term /= k
+        if out and math.floor(total * 2**bits) == out[-1]:
+            break
+        out.append(math.floor(total * 2**bits))
+    return out
+
+
+def poisson_bootstrap(rows: DataFrame, key: str, num: str, den: str, resamples: int, seed: str, strata: str | None = None) -> DataFrame:
+    """One row: value, low, high as by ``bootstrap``, in one pass over any number of units.
+
+    In place of drawing n of n units, each unit counts in each resample as often as a draw from Poisson(1) says. The draws are
+    16 bits of SHA-256 of seed, stratum, key and the resample's number, so they need no other unit: a task adds up its
+    units' weighted sums for all resamples, and only these sums are shuffled. With ``strata`` each stratum's weighted sums are
+    scaled to its size, as if as many units were drawn from it as it has. Units without ``num`` or ``den`` are left out; units
+    of one stratum with the same key draw alike, so keys should be unique.
+    """
+    by = F.col(strata).cast("string") if strata else F.lit("")
+    a_digest = 16  # draws of 16 bits
+    said = F.concat(F.lit(seed), F.coalesce(by, F.lit("")), F.lit(":"), F.col(key).cast("string"), F.lit(":"))
+    drawn = F.concat(*[F.unhex(F.sha2(F.concat(said, F.lit(str(j))), 256)) for j in range(-(-resamples // a_digest))])
+    units = rows.filter(F.col(num).isNotNull() & F.col(den).isNotNull()).select(by.alias("stratum"), F.col(num).cast("double").alias("a"), F.col(den).cast("double").alias("b"), drawn.alias("d"))
+    steps = np.array(poisson_steps())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.frombuffer(b"".join(batch.column("d").to_pylist()), ">u2").reshape(batch.num_rows, -1)[:, :resamples]
+            weights = np.searchsorted(steps, bits, side="right").astype(np.float64)
+            unit = np.column_stack([*(batch.column(c).to_numpy(zero_copy_only=False) for c in "ab"), np.ones(batch.num_rows)])
+            codes = batch.column("stratum").dictionary_encode()
+            number = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(number, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+                s = codes[int(own[0])].as_py()
+                part = np.column_stack([weights[own].T @ unit[own], np.full(resamples, float(len(own)))])
+                sums[s] = sums[s] + part if s in sums else part
+        for s, part in sums.items():
+            yield pa.record_batch([pa.array([s] * resamples, pa.string()), pa.array(range(resamples), pa.int32()), *map(pa.array, part.T)], ["stratum", "r", "a", "b", "w", "n"])
+
+    added = units.mapInArrow(run, "stratum string, r int, a double, b double, w double, n double").groupBy("stratum", "r").agg(*(F.sum(c).alias(c) for c in "abwn"))
+    scale = F.col("n") / F.nullif("w", F.lit(0.0)) if strata else F.lit(1.0)
+    values = added.groupBy("r").agg((F.sum(F.col("a") * scale) / F.nullif(F.sum(F.col("b") * scale), F.lit(0.0))).alias("v"))
+    kept = rows.filter(F.col(num).isNotNull() & F.col(den).isNotNull())
+    return _interval(kept.agg((F.sum(num) / F.nullif(F.sum(den), F.lit(0))).alias("value")), values)
 
 
 def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, resamples: int, seed: str) -> DataFrame:

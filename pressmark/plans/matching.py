@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmark.functions import periods as P
 from pressmark.functions import text as T
+from pressmark.operators import automaton
 from pressmark.operators import matching as M
 from pressmark.operators import ranking as R
 from pressmark.operators import upserts as U
@@ -106,6 +107,35 @@ def jn16(t):
     return t.part.select("p_partkey", M.only_value(F.col("p_type"), RULES).alias("value"))
 
 
+#: Every two words of the benchmark's items that follow each other as a rule for the first item that has them; the longest first.
+part("pairrules", """pairrules AS (SELECT pattern, 'item-' || min(item_id)::VARCHAR AS value, row_number() OVER (ORDER BY length(pattern) DESC, pattern) AS n FROM (SELECT item_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS pattern
+ FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ws FROM benchmark)) GROUP BY pattern)""")
+part("pairhits", "pairhits AS (SELECT doc_id, arg_min(value, n) AS value, arg_min(pattern, n) AS pattern, count(*) AS hits, count(DISTINCT value) AS vs FROM documents JOIN @pairrules ON contains(lower(coalesce(text, '')), pattern) GROUP BY doc_id)")
+
+
+def _pair_rules(t):
+    ws = T.tokens("text")
+    pairs = F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1)))
+    rules = t.benchmark.select("item_id", F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.min("item_id").alias("i"))
+    return [(r["pattern"], f"item-{r['i']}") for r in rules.orderBy(F.desc(F.char_length("pattern")), "pattern").collect()]  # a rule table
+
+
+@query("jn14_rule_automaton", "SELECT doc_id, value, pattern FROM documents LEFT JOIN @pairhits USING (doc_id)")
+def jn14_automaton(t):
+    return t.documents.select("doc_id", automaton.first(F.col("text"), _pair_rules(t)).alias("r")).select("doc_id", "r.value", "r.pattern")
+
+
+@query("jn16_rule_automaton", "SELECT doc_id, CASE WHEN vs = 1 THEN value END AS value, CASE WHEN vs > 1 THEN 'ambiguous' ELSE pattern END AS pattern FROM documents LEFT JOIN @pairhits USING (doc_id)")
+def jn16_automaton(t):
+    return t.documents.select("doc_id", automaton.agreeing(F.col("text"), _pair_rules(t)).alias("r")).select("doc_id", "r.value", "r.pattern")
+
+
+@query("sc40_term_automaton", """SELECT doc_id, list(pattern ORDER BY n) AS terms FROM (SELECT doc_id, ' ' || regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[\\s-]+', ' ', 'g'), '([^\\p{L}\\p{N}_ ])', ' \\1 ', 'g') || ' ' AS x FROM documents)
+ JOIN @pairrules ON contains(x, ' ' || strip_accents(pattern) || ' ') GROUP BY doc_id""")
+def sc40_automaton(t):
+    return t.documents.select("doc_id", automaton.terms(F.col("text"), [p for p, _ in _pair_rules(t)]).alias("terms")).filter(F.size("terms") > 0)
+
+
 @query("jn17_bridge", "SELECT p_partkey, w AS collection FROM (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+'))) AS w FROM part) WHERE w IN ('small', 'large', 'promo')")
 def jn17(t):
     wanted = t.spark.createDataFrame([("small",), ("large",), ("promo",)], "collection string")

@@ -52,6 +52,33 @@ def ev16(t):
     return E.bootstrap(units, "o_orderpriority", "num", "den", 200, "gr").select("*", (F.col("low") > 0.2).alias("holds"))
 
 
+def _poisson(name: str, units: str, seed: str, scaled: bool = False) -> str:
+    """As _boot, with Poisson weights of 200 resamples over units (s, u, num, den)."""
+    weight = " + ".join(f"(x >= {step})::INT" for step in E.poisson_steps())
+    part(f"{name}_u", f"{name}_u AS ({units})")
+    part(f"{name}_x", f"{name}_x AS (SELECT r, s, num, den, ('0x' || substr(sha256('{seed}' || s || ':' || u || ':' || (r // 16)::VARCHAR), 1 + 4 * (r % 16), 4))::INT AS x FROM @{name}_u, (SELECT unnest(generate_series(0, 199)) AS r))")
+    part(f"{name}_s", f"{name}_s AS (SELECT r, s, sum(w * num) AS a, sum(w * den) AS b, {'count(*)::DOUBLE / sum(w)' if scaled else '1.0'} AS f FROM (SELECT *, {weight} AS w FROM @{name}_x) GROUP BY r, s)")
+    part(f"{name}_v", f"{name}_v AS (SELECT r, sum(a * f) / sum(b * f) AS v FROM @{name}_s GROUP BY r)")
+    return f"(SELECT round(sum(num) / sum(den), 6) FROM @{name}_u) AS value, (SELECT round(quantile_cont(v, 0.025), 6) FROM @{name}_v) AS low, (SELECT round(quantile_cont(v, 0.975), 6) FROM @{name}_v) AS high"
+
+
+@query("ev11_poisson_paired", "SELECT " + _poisson("pp", "SELECT '' AS s, doc_id::VARCHAR AS u, (quality - toxic)::DOUBLE AS num, 1.0 AS den FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL", "pp"))
+def ev11_poisson(t):
+    pairs = t.labels.select("doc_id", (F.col("quality") - F.col("toxic")).alias("num"), F.lit(1).alias("den"))
+    return E.poisson_bootstrap(pairs, "doc_id", "num", "den", 200, "pp")
+
+
+@query("ev12_poisson_ratio", "SELECT " + _poisson("pr", "SELECT '' AS s, o_orderkey::VARCHAR AS u, o_totalprice AS num, n AS den FROM orders JOIN (SELECT l_orderkey, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", "pr"))
+def ev12_poisson(t):
+    leaves = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return E.poisson_bootstrap(t.orders.join(leaves, "o_orderkey"), "o_orderkey", "o_totalprice", "n", 200, "pr")
+
+
+@query("ev15_poisson_strata", "SELECT " + _poisson("ps", "SELECT o_orderpriority AS s, o_orderkey::VARCHAR AS u, o_totalprice AS num, 1.0 AS den FROM orders", "ps", True))
+def ev15_poisson(t):
+    return E.poisson_bootstrap(t.orders.withColumn("one", F.lit(1)), "o_orderkey", "o_totalprice", "one", 200, "ps", strata="o_orderpriority")
+
+
 _Z = "1.959963984540054"
 _W = f"(p + {_Z} * {_Z} / (2 * n) {{0}} {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)"
 
