@@ -44,7 +44,7 @@ def sc48(t):
 @query("ev8_switch_sweep", "SELECT config, doc_id FROM (SELECT 'lexical' AS config, doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, sum(1.0 / (60 + rank)) AS s FROM @bmrank WHERE rank <= 50 GROUP BY 1) UNION ALL SELECT 'both', doc_id, row_number() OVER (ORDER BY round(s, 12) DESC, doc_id) FROM (SELECT doc_id, sum(1.0 / (60 + rank)) AS s FROM (SELECT * FROM @bmrank WHERE rank <= 50 UNION ALL SELECT * FROM @dnrank WHERE rank <= 50) GROUP BY 1)) WHERE r <= 10")
 def ev8(t):
     def run(dense_weight):
-        a = S.with_rank(_lexical(t), "doc_id", ["q"], "rank").filter("rank <= 50")
+        a = S.with_rank(_lexical(t, 50), "doc_id", ["q"], "rank")
         b = S.with_rank(_dense(t), "doc_id", ["q"], "rank").filter("rank <= 50")
         fused = S.rrf([(a, 1.0), (b, dense_weight)], "doc_id", ["q"]).withColumn("s", F.round("score", 12))
         return fused.orderBy(F.desc("s"), "doc_id").limit(10).select("doc_id")

@@ -45,7 +45,7 @@ def jn2(t):
 
 @query("jn9_unjudged_hits", "SELECT doc, rank FROM @bmrank_docs WHERE doc NOT IN (SELECT doc_id FROM labels)")
 def jn9(t):
-    ranked = S.with_rank(_lexical(t), "doc_id", [], "rank").filter("rank <= 50").select(F.col("doc_id").alias("doc"), "rank")
+    ranked = S.with_rank(_lexical(t, 50), "doc_id", [], "rank").select(F.col("doc_id").alias("doc"), "rank")
     return ranked.join(t.labels.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
 
 
@@ -141,7 +141,7 @@ def sm4(t):
 
 @query("sm6_sub_corpus", """SELECT doc_id, min(why) AS why FROM (SELECT doc AS doc_id, 'a hit' AS why FROM @bmrank_docs UNION ALL SELECT doc_id, 'b source' FROM labels WHERE toxic = 1 UNION ALL (SELECT doc_id, 'c distractor' FROM documents WHERE doc_id NOT IN (SELECT doc FROM @bmrank_docs) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY sha256('d' || doc_id::VARCHAR), doc_id LIMIT 25)) GROUP BY doc_id""")
 def sm6(t):
-    hits = S.with_rank(_lexical(t), "doc_id", [], "rank").filter("rank <= 50").select("doc_id", F.lit("a hit").alias("why"))
+    hits = S.with_rank(_lexical(t, 50), "doc_id", [], "rank").select("doc_id", F.lit("a hit").alias("why"))
     sources = t.labels.filter("toxic = 1").select("doc_id", F.lit("b source").alias("why"))
     both = hits.union(sources)
     others = R.top(t.documents.select("doc_id").join(both, "doc_id", "left_anti"), [R.hash_order("d", "doc_id"), F.col("doc_id")], 25).select("doc_id", F.lit("c distractor").alias("why"))
@@ -157,7 +157,7 @@ def rt14(t):
 
 @query("rt15_head_rerank", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN -n_chars ELSE rank END, doc_id) AS position FROM @bmrank JOIN documents USING (doc_id) WHERE rank <= 40")
 def rt15(t):
-    head = S.with_rank(_lexical(t), "doc_id", [], "rank").filter("rank <= 40").join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    head = S.with_rank(_lexical(t, 40), "doc_id", [], "rank").join(t.documents.select("doc_id", "n_chars"), "doc_id")
     scored = F.when(F.col("rank") <= 10, -F.col("n_chars")).otherwise(F.col("rank"))  # a stub in place of a cross-encoder
     return head.withColumn("position", F.row_number().over(Window.orderBy((F.col("rank") > 10).cast("int"), scored, "doc_id"))).select("doc_id", "position")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmark.functions import text as T
+from pressmark.operators import index
 from pressmark.operators import ranking as R
 from pressmark.operators import retrieval as S
-from pressmark.plans.registry import part, query, scratch
+from pressmark.plans.registry import kept, part, query, scratch
+from pressmark.sources import sinks
 
 QUESTION = "What did the report conclude about onheed nteres worthless edha and thinor in 1998?"
 CANDIDATES = S.RetrieveConfig().candidates
@@ -41,8 +45,19 @@ def asked(t, text: str = QUESTION) -> list[str]:
     return [r["term"] for r in question_terms(t, text).select("term").distinct().collect()]
 
 
-def _lexical(t):
-    return S.bm25_once(t.documents, "doc_id", "text", asked(t)).select(F.lit("q1").alias("q"), "doc_id", F.round("score", 9).alias("score"))
+def document_index(t) -> index.Index:
+    """The index of documents: built by the first query that asks, then read by all others of the application."""
+    root = kept(t.spark, t.folder, "documents", "documents-index")
+    if sinks.Store(t.spark, root).head(index.POINTER) is None:
+        index.build(t.documents, "doc_id", "text", root)
+    return index.Index(t.spark, root)
+
+
+def _lexical(t, k: int | None = None):
+    """q, doc_id, score by BM25 of all documents that have a term of the question, from their texts; of the k best alone, from the kept index."""
+    if k is None:
+        return S.bm25_once(t.documents, "doc_id", "text", asked(t)).select(F.lit("q1").alias("q"), "doc_id", F.round("score", 9).alias("score"))
+    return document_index(t).top(asked(t), k).select(F.lit("q1").alias("q"), F.col("key").alias("doc_id"), "score")
 
 
 def asking(t):
@@ -57,7 +72,7 @@ def _dense(t):
 
 def flagship(t):
     """The ten best documents for the question by BM25, with their place and opening."""
-    best = _lexical(t).orderBy(F.desc("score"), "doc_id").limit(10)
+    best = _lexical(t, 10)
     found = t.documents.join(F.broadcast(best), "doc_id")  # ten rows
     return found.select("doc_id", F.round("score", 6).alias("score"), "lang", "source", T.snippet("text", 80).alias("opening"))
 
@@ -99,14 +114,14 @@ def rt6(t):
 
 @query("rt7_rrf", "SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT doc_id, rank FROM @bmrank WHERE rank <= 50 UNION ALL SELECT doc_id, rank FROM @dnrank WHERE rank <= 50) GROUP BY doc_id")
 def rt7(t):
-    a = S.with_rank(_lexical(t), "doc_id", ["q"], "rank").filter("rank <= 50")
+    a = S.with_rank(_lexical(t, 50), "doc_id", ["q"], "rank")
     b = S.with_rank(_dense(t), "doc_id", ["q"], "rank").filter("rank <= 50")
     return S.rrf([(a, 1.0), (b, 1.0)], "doc_id", ["q"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("rt8_weighted_fusion", "SELECT doc_id, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT doc_id, rank, 1.0 AS w FROM @bmrank WHERE rank <= 50 UNION ALL SELECT doc_id, rank, 0.4 FROM @dnrank WHERE rank <= 50) GROUP BY doc_id")
 def rt8(t):
-    a = S.with_rank(_lexical(t), "doc_id", ["q"], "rank").filter("rank <= 50")
+    a = S.with_rank(_lexical(t, 50), "doc_id", ["q"], "rank")
     b = S.with_rank(_dense(t), "doc_id", ["q"], "rank").filter("rank <= 50")
     return S.rrf([(a, 1.0), (b, 0.4)], "doc_id", ["q"]).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -144,7 +159,7 @@ def rt13(t):
 def rt16(t):
     shard = t.documents.select("doc_id", F.col("lang").alias("shard"))
     best = lambda arm, name: R.top(arm.join(shard, "doc_id").select("doc_id", "shard", F.col("score").alias(name)), [F.desc(name), F.col("doc_id")], CANDIDATES)
-    return S.merged(best(_lexical(t), "bm25"), best(_dense(t), "dense"), "doc_id", 15)
+    return S.merged(best(_lexical(t, CANDIDATES), "bm25"), best(_dense(t), "dense"), "doc_id", 15)
 
 
 part("sharddf", "sharddf AS (SELECT lang AS shard, term, count(*) AS df FROM @postings JOIN documents USING (doc_id) GROUP BY 1, 2)")
@@ -210,6 +225,38 @@ def rt23(t):
     return S.postings(t.documents, "doc_id", "text").filter(F.col("term").startswith("onhee")).select("doc_id").distinct()
 
 
+@query("rt2_index_top", "SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, round(score, 9) AS score FROM @lexical ORDER BY score DESC, doc_id LIMIT 100)")
+def rt2_index(t):
+    return _lexical(t, 100).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("rt21_index_all_of", "SELECT doc_id FROM @postings WHERE term IN ('the', 'of', 'in') GROUP BY doc_id HAVING count(*) = 3")
+def rt21_index(t):
+    return document_index(t).all_of(["the", "of", "in"]).select(F.col("key").alias("doc_id"))
+
+
+_PADDED = f"(SELECT doc_id, ' ' || array_to_string({TOKENS.format('text')}, '  ') || ' ' AS x FROM documents)"
+
+
+@query("rt22_index_phrase", f"SELECT doc_id, (length(x) - length(replace(x, ' of  the ', ''))) // 9 AS hits FROM {_PADDED} WHERE contains(x, ' of  the ')")
+def rt22_index(t):
+    return document_index(t).phrase(["of", "the"]).select(F.col("key").alias("doc_id"), "hits")
+
+
+@query("rt23_index_prefix", "SELECT DISTINCT doc_id FROM @postings WHERE term LIKE 'onhee%'")
+def rt23_index(t):
+    return document_index(t).prefix("onhee").select(F.col("key").alias("doc_id"))
+
+
+@query("sc46_index_quotes", f"SELECT item_id, doc_id FROM (SELECT item_id, ' ' || array_to_string({TOKENS.format('text')}[1:6], '  ') || ' ' AS q FROM benchmark WHERE item_id % 10 = 0) JOIN {_PADDED} ON contains(x, q)")
+def sc46_index(t):
+    ix = document_index(t)
+    quotes = t.benchmark.filter("item_id % 10 = 0").select("item_id", F.slice(T.tokens("text"), 1, 6).alias("q")).collect()  # the quotes asked for, each a search of its own
+    found = [ix.phrase(r["q"]).select(F.lit(r["item_id"]).alias("item_id"), F.col("key").alias("doc_id")) for r in quotes]
+    none = t.spark.createDataFrame([], found[0].schema) if found else t.documents.select(F.lit(0).cast("long").alias("item_id"), "doc_id").limit(0)
+    return reduce(DataFrame.unionByName, found, none)
+
+
 @query("rt25_int8_scores", """WITH sc AS (SELECT d, max(abs(x)) / 127 AS s FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d), m AS (SELECT list(s ORDER BY d) AS s FROM sc),
  p AS (SELECT q, vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], m.s, v), lambda z: CASE WHEN z[2] > 0 THEN round(z[1] / z[2]) * z[2] ELSE 0 END * z[3])), 9) AS score FROM embeddings, m, @vqs)
  SELECT q, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 20""")
