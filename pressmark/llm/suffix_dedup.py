@@ -9,7 +9,8 @@
    cut from its text.
 3. Contexts go to shards by gram, so all windows that could be equal meet in one task.
    A gram with very many different contexts is dealt finer, by how far a window lies from
-   its anchor and by all bytes that such windows share.
+   its anchor and by all bytes that such windows share. Equal pieces of such a gram are one row
+   with its uses before they are shuffled, and one piece in a shard.
 4. A shard holds about ``SHARD`` bytes. Its suffix array is built by Larsson-Sadakane
    refinement; Kasai's common prefixes show which windows are equal. Where the contexts
    of one gram reach over several shards, the windows of one are found in the suffix
@@ -46,6 +47,7 @@ HEAVY = 1000
 HOT = 2048  # different contexts of a gram from which it is dealt finer
 ROWS = 500  # texts cut at a time
 FINE = 8  # window starts of one finer class
+HELD = 1 << 23  # bytes of merged pieces and their uses that a task holds before it passes them on
 
 _COUNT = WINDOW - GRAM + 1  # grams of a window
 
@@ -105,7 +107,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted context; those of a hot gram in finer classes."""
+    """The bytes of each wanted context; those of a hot gram in finer classes.
+
+    A common passage gives the same piece from every text: within a task equal pieces of a hot gram become one row, with the
+    contexts that hold it, before anything is shuffled.
+    """
+    merged: dict[tuple[int, bytes], tuple[int, list[tuple]]] = {}
+    held = 0
     for batch in batches:
         rows: list[tuple] = []
         size = 0
@@ -114,7 +122,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted.as_py():
                 start, lead, count = w["start"], w["lead"], w["count"]
                 if not w["hot"]:
-                    rows.append((w["gram"], w["gram"], w["context"], w["n"], 0, count, raw[start : start + count - 1 + WINDOW]))
+                    rows.append((w["gram"], count, raw[start : start + count - 1 + WINDOW], [(w["gram"], w["context"], 0, w["n"])]))
                     size += count + WINDOW
                     continue
                 # a window that starts k bytes before the anchor is in class k // FINE; its class shares WINDOW - FINE + 1 bytes or more
@@ -124,19 +132,47 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b = min(count, lead - k * FINE + 1)
                     share = raw[start + lead - k * FINE : start + lead - k * FINE + WINDOW - FINE + 1]
                     route = int(flat.span_hashes(np.frombuffer(share, np.uint8), np.array([0]), np.array([len(share)]))[0] ^ flat.mixed(np.array([k + 1], np.uint64))[0])
-                    rows.append((route - (1 << 64) if route >= 1 << 63 else route, w["gram"], w["context"], w["n"], a, b - a, raw[start + a : start + b - 1 + WINDOW]))
-                    size += b - a + WINDOW
+                    piece = raw[start + a : start + b - 1 + WINDOW]
+                    key = (route - (1 << 64) if route >= 1 << 63 else route, piece)
+                    if key not in merged:
+                        merged[key] = (b - a, [])
+                        held += len(piece)
+                    merged[key][1].append((w["gram"], w["context"], a, w["n"]))
+                    held += 32
                     a = b
             if size > SHARD:
                 yield _cut_batch(rows)
                 rows, size = [], 0
         if rows:
             yield _cut_batch(rows)
+        if held > HELD:
+            yield from _flushed(merged)
+            merged, held = {}, 0
+    yield from _flushed(merged)
+
+
+def _flushed(merged: dict[tuple[int, bytes], tuple[int, list[tuple]]]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for (route, piece), (count, uses) in merged.items():
+        rows.append((route, count, piece, uses))
+        size += len(piece) + 32 * len(uses)
+        if size > SHARD:
+            yield _cut_batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _cut_batch(rows)
+
+
+_USE = ("gram", "context", "first", "n")  # a context that holds a piece, from which of its windows on, and how often it occurs
+_CUT = "route long, count long, bytes binary, uses array<struct<gram:bigint,context:bigint,first:bigint,n:bigint>>"
 
 
 def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.binary()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["route", "gram", "context", "n", "first", "count", "bytes"])
+    route, count, piece, uses = zip(*rows)
+    every = np.array([u for us in uses for u in us], np.int64)
+    offsets = np.cumsum([0, *map(len, uses)])
+    structs = pa.StructArray.from_arrays([pa.array(every[:, k]) for k in range(4)], list(_USE))
+    return pa.record_batch([pa.array(route, pa.int64()), pa.array(count, pa.int64()), pa.array(piece, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)], ["route", "count", "bytes", "uses"])
 
 
 def repeated_windows(pieces: list[bytes], counts: np.ndarray, times: np.ndarray, routes: np.ndarray, shard: int = SHARD) -> list[np.ndarray]:
@@ -198,25 +234,36 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by route; blocks of whole routes become shards. Yields the runs of repeated window starts."""
-    rows: list[tuple] = []
+    """Rows come sorted by route and bytes; equal pieces are one, and blocks of whole routes become shards. Yields the runs of repeated window starts."""
+    rows: list[tuple[int, int, bytes]] = []
+    uses: list[list[np.ndarray]] = []
     size = 0
 
     def solve() -> Iterator[pa.RecordBatch]:
-        nonlocal rows, size
-        one = list({(r[0], r[1], r[2], r[4]): r for r in rows}.values())  # the same row twice is one
-        flags = repeated_windows([r[6] for r in one], np.array([r[5] for r in one], np.int64), np.array([r[3] for r in one], np.int64), np.array([r[0] for r in one], np.int64))
-        out = [(r[1], r[2], a + r[4], b + r[4]) for r, f in zip(one, flags) for a, b in _runs(f)]
-        rows, size = [], 0
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["gram", "context", "low", "high"])
+        nonlocal rows, uses, size
+        own = [np.unique(np.concatenate(u), axis=0) for u in uses]  # the same use twice is one
+        flags = repeated_windows([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([u[:, 3].sum() for u in own], np.int64), np.array([r[0] for r in rows], np.int64))
+        for u, f in zip(own, flags):
+            if runs := _runs(f):
+                low, high = (np.tile(np.array(side, np.int64), len(u)) for side in zip(*runs))
+                gram, context, first = (np.repeat(u[:, k], len(runs)) for k in range(3))
+                yield pa.record_batch([pa.array(c) for c in (gram, context, low + first, high + first)], ["gram", "context", "low", "high"])
+        rows, uses, size = [], [], 0
 
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= BLOCK and r[0] != rows[-1][0]:
+        lists = batch.column("uses")
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        every = np.column_stack([lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4)]) if batch.num_rows else None
+        for i, (route, count, piece) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("route", "count", "bytes")))):
+            mine = every[ends[i - 1] if i else 0 : ends[i]]
+            if rows and rows[-1][0] == route and rows[-1][2] == piece:
+                uses[-1].append(mine)
+                continue
+            if size >= BLOCK and route != rows[-1][0]:
                 yield from solve()
-            rows.append(r)
-            size += len(r[6])
+            rows.append((route, count, piece))
+            uses.append([mine])
+            size += len(piece)
     if rows:
         yield from solve()
 
@@ -248,8 +295,8 @@ def spans(docs: DataFrame) -> DataFrame:
     holders = own.groupBy("digest").agg(F.min("doc_id").alias("holder"))  # one of a group of copies
     # dealt by digest like the join that cuts the texts in the end, so that the texts are shuffled once
     one = F.coalesce(~(F.col("doc_id") < F.col("holder")) & ~(F.col("doc_id") > F.col("holder")), F.lit(True))
-    cut = every.join(wanted.join(holders, "digest"), "digest").filter(one).select("text", "wanted").mapInArrow(_cut, "route long, gram long, context long, n long, first long, count long, bytes binary")
-    runs = cut.repartition("route").sortWithinPartitions("route", "gram", "context", "first").mapInArrow(_sorted_shards, "gram long, context long, low long, high long")
+    cut = every.join(wanted.join(holders, "digest"), "digest").filter(one).select("text", "wanted").mapInArrow(_cut, _CUT)
+    runs = cut.repartition("route").sortWithinPartitions("route", "bytes").mapInArrow(_sorted_shards, "gram long, context long, low long, high long")
     runs = runs.groupBy(F.struct("gram", "context").alias("k")).agg(F.collect_list(F.struct("low", "high")).alias("w")).select("k.*", "w")  # of one context
     spread = contexts.join(runs, ["gram", "context"]).select("digest", "start", F.explode("w").alias("r"))
     spans_of = F.struct((F.col("start") + F.col("r.low")).alias("a"), (F.col("start") + F.col("r.high") - 1 + WINDOW).alias("b"))

@@ -93,7 +93,7 @@ def test_small_shards_and_hot_grams(spark, tmp_path, monkeypatch):
     kind = pa.list_(pa.struct([("gram", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("lead", pa.int64()), ("count", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_())]))
     batch = pa.record_batch([pa.array([texts[-1]]), pa.array([[row]], kind)], ["text", "wanted"])
     out = next(cut(iter([batch]))).to_pylist()
-    assert sum(o["count"] for o in out) == 130 and all(o["bytes"] == raw[3 + o["first"] : 3 + o["first"] + o["count"] - 1 + W] for o in out)
+    assert sum(o["count"] for o in out) == 130 and all(o["bytes"] == raw[3 + o["uses"][0]["first"] : 3 + o["uses"][0]["first"] + o["count"] - 1 + W] for o in out)
     monkeypatch.setattr(D, "HOT", 1)
     check(spark, tmp_path, texts)
 
@@ -103,3 +103,26 @@ def test_cleaned_keeps_columns(spark, tmp_path):
     rows = {r.doc_id: r for r in D.cleaned(docs(spark, texts)).collect()}
     assert rows[0].text == "" and rows[0].n_chars == 0 and rows[2].text == "short" and rows[3].text is None and rows[4].text == texts[4] and rows[4].score == "clash"
     assert D.op10_suffix_dedup(spark, write(spark, tmp_path, [])).count() == 0
+
+
+def test_a_common_passage_is_one_piece_of_a_route(spark):
+    """Twice as many texts with one passage leave the rows of a route as they are: equal pieces are merged before the shuffle."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(600))
+
+    def rows(n):
+        """The cut of n texts, all windows wanted and hot, dealt to two tasks."""
+        out = []
+        for task in range(2):
+            texts = [(bytes(rng.choice(b"ijklmnop ") for _ in range(300)) + passage + bytes(rng.choice(b"ijklmnop ") for _ in range(300))).decode() for _ in range(n // 2)]
+            wanted = []
+            for t in texts:
+                own, gram, context, start, anchor, count = D.anchors(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+                wanted.append([{"gram": g, "context": c, "start": a, "lead": p - a, "count": k, "n": 1, "hot": True} for g, c, a, p, k in zip(gram.view(np.int64).tolist(), context.view(np.int64).tolist(), start.tolist(), anchor.tolist(), count.tolist())])
+            out += [r for b in D._cut(iter([pa.record_batch([pa.array(texts), pa.array(wanted)], ["text", "wanted"])])) for r in b.to_pylist()]
+        return out
+
+    few, many = (max(Counter((r["route"], r["bytes"]) for r in rows(n)).values()) for n in (200, 400))
+    assert few == many == 2  # one of each task
