@@ -3,8 +3,8 @@
 Documents are taken apart once, in segments that a task fills one after another. Within a segment a term's
 documents, in order of their key, are cut into blocks of ``BLOCK``; a block is a row: keys and positions as
 differences, term frequencies, document lengths, and its competitive pairs (tf, length), from which the largest
-weight in the block follows for any size of the collection. Rows are sorted by term and segment over files
-with small row groups, so a question reads its terms' rows alone. What has to be known of the whole collection is in a
+weight in the block follows for any size of the collection. Rows are dealt by term and segment over files that are sorted
+by term, with small row groups, so a question reads its terms' row groups alone. What has to be known of the whole collection is in a
 pointer that is written last.
 
 A question's blocks meet by segment. Where no sum of its blocks' largest weights reaches the k-th best score known so far,
@@ -130,7 +130,8 @@ def build(docs: DataFrame, key: str, column: str, root: str, parts: int = 16, bl
     folder = uuid.uuid4().hex
     taken = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), text.tokens(column).alias("ts"))
     rows = taken.mapInArrow(run, _DDL)
-    rows.repartitionByRange(parts, "term", "segment").sortWithinPartitions("term", "segment", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{folder}")
+    # by hash, for ranges would be found by taking all texts apart once more; a common term's segments go to all files
+    rows.repartition(parts, "term", "segment").sortWithinPartitions("term", "segment", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{folder}")
     held = spark.read.parquet(f"{root}/{folder}").filter("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("tokens")).first()
     pointer = {"folder": folder, "n": held["n"], "tokens": held["tokens"]}
     Store(spark, root).put(POINTER, json.dumps(pointer).encode())
