@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmark.functions import periods
+from pressmark.functions.sections import page_signals
 from pressmark.functions.text import smart_title, squash
 
 # Words that prose in English or French is sure to have (quality reads their share).
@@ -54,28 +55,9 @@ def ocr_quality(c: Column | str) -> Column:
     return F.transform(F.array(read), score)[0]  # the text is taken apart once
 
 
-# What headings and lines of front and back matter look like.
-SIGNALS = {
-    "toc": r"(?i)\b(table of )?contents\b|\blist of (tables|figures|appendices|illustrations)\b",
-    "transmittal": r"(?i)letter of transmittal|i have the honou?r to (present|submit|transmit)|respectfully submitted",
-    "index_head": r"(?im)^\s*(subject |general |alphabetical )?index\s*$",
-    "ref_head": r"(?im)^\s*(references|bibliography|works cited|literature cited|sources consulted|selected bibliography)\s*$",
-}
-COUNTS = {
-    "numbered": r"(?m)^\s*\(?\d{1,3}[.)]\s+\S",
-    "cites": r"\b(1[89]\d\d|20\d\d)\b[^\n]{0,60}?(\b\d{1,4}\s*(\(\d+\))?\s*:\s*\d{1,4}\s*-\s*\d{1,4}\b|\bpp?\.\s*\d{1,4}\s*-\s*\d{1,4}\b)",
-    "authors": r"(?:^|\n|[.;]\s+)[A-Z][a-z'\-]{2,},?\s+(?:(?:[A-Z]\.){1,3},?|[A-Z]{1,3}[.,])(?=\s|$)(?=[\s\S]{0,156}\b(?:1[89]\d\d|20\d\d)\b)",
-    "index_lines": r"(?m)^[A-Za-z][^\n]{2,60},\s*\d{1,4}(,\s*\d{1,4})*\s*$",
-    "leaders": r"(?m)^(?=[^\n]*[A-Za-z])[^\n]*[ \t]\d{1,4}[ \t]*$|^[^\n]*\.{3,}[ \t]*\d{1,4}[ \t]*$",
-    "page_only": r"(?im)^\s*([ivxlc]{1,6}|\d{1,4})\s*$",
-}
-
-
 def signals(c: Column | str) -> Column:
     """What a page shows of front and back matter, as a struct."""
-    t = _text(c)
-    n = F.size(F.filter(F.split(t, r"\r\n|\r|\n"), lambda x: F.trim(x) != ""))
-    return F.struct(n.alias("n_lines"), F.char_length(t).alias("chars"), *[t.rlike(p).alias(k) for k, p in SIGNALS.items()], *[F.regexp_count(t, F.lit(p)).alias(k) for k, p in COUNTS.items()])
+    return page_signals(_text(c))
 
 
 def section(leaf: Column, leaves: Column, s: Column) -> Column:

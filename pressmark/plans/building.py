@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressmark.functions import ingest as I
+from pressmark.functions.sections import authors
 from pressmark.operators import building as B
 from pressmark.operators import harvest as H
 from pressmark.plans.registry import part, query
@@ -164,4 +164,4 @@ def wn5(t):
 
 @query("sc11_author_entries", None)
 def sc11(t):
-    return t.documents.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(I.COUNTS["authors"])).alias("authors"))
+    return t.documents.select("doc_id", authors(F.col("text")).alias("authors"))

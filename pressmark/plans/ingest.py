@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressmark.functions import ingest as I
 from pressmark.functions import periods as P
 from pressmark.functions import text as T
 from pressmark.operators import packing as K
+from pressmark.operators.ordering import numbered
 from pressmark.plans.registry import part, query
 from pressmark.plans.retrieval import STOP
 
@@ -147,17 +147,20 @@ def sc14(t):
 @query("sc8_ocr_quality", """SELECT doc_id, CASE WHEN solid = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, 0.15 * letters / solid + 0.25 * nw / nt + 0.40 * least(1.0, 3.0 * CASE WHEN nw > 0 THEN nc / nw ELSE 0 END) + 0.10 * (1 - noisy / nl) + 0.10 * CASE WHEN solid / nt BETWEEN 2.5 AND 12.0 THEN 1.0 ELSE greatest(0.0, 1 - abs(solid / nt - 6) / 10) END)), 4) END AS quality FROM (
  SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g'))::DOUBLE AS solid, length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))::DOUBLE AS letters, len(regexp_extract_all(text, '[A-Za-zÀ-ſ][A-Za-zÀ-ſ''\\-]{1,}'))::DOUBLE AS nw, len(regexp_extract_all(text, '\\S+'))::DOUBLE AS nt,
  len(list_filter(regexp_extract_all(text, '[A-Za-zÀ-ſ][A-Za-zÀ-ſ''\\-]{1,}'), lambda w: lower(w) IN (""" + ", ".join(f"'{w}'" for w in I.COMMON_WORDS) + """)))::DOUBLE AS nc, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::DOUBLE AS nl,
- len(list_filter(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: length(regexp_replace(x, '[^\\p{L}\\p{N}]+', '', 'g')) < 0.5 * length(regexp_replace(x, '\\s+', '', 'g'))))::DOUBLE AS noisy FROM documents WHERE text IS NOT NULL)""")
+ len(list_filter(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: length(regexp_replace(x, '[^\\p{L}\\p{N}]+', '', 'g')) < 0.5 * length(regexp_replace(x, '\\s+', '', 'g'))))::DOUBLE AS noisy FROM documents WHERE text IS NOT NULL) UNION ALL SELECT doc_id, 0.0 FROM documents WHERE text IS NULL""")
 def sc8(t):
-    return t.documents.filter("text is not null").select("doc_id", I.ocr_quality("text").alias("quality"))
+    return t.documents.select("doc_id", I.ocr_quality("text").alias("quality"))
 
 
 @query("sc9_sc10_sections", None)
 def sc10(t):
-    w = Window.partitionBy("source")
-    rows = t.documents.withColumn("leaf", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
+    # leaves of a source in order of their id; texts are scanned where they lie
+    docs = t.documents
+    leaves = numbered(docs.select("source", "doc_id"), ["source", "doc_id"], "leaf", by="source")
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
+    places = leaves.join(sizes, leaves["source"].eqNullSafe(sizes["source"])).select("doc_id", "leaf", "n")
     s = I.section(F.col("leaf"), F.col("n"), F.col("s"))
-    return rows.withColumn("s", I.signals("text")).select("doc_id", s["section"].alias("section"), s["rule"].alias("rule"))
+    return docs.select("doc_id", I.signals("text").alias("s")).join(places, "doc_id").select("doc_id", s["section"].alias("section"), s["rule"].alias("rule"))
 
 
 @query("src7_form_feed_pages", "SELECT k, i - 1 AS leaf, p AS text, length(p) AS char_count, trim(p) <> '' AS has_text FROM (SELECT k, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT p_partkey AS k, string_split(p_name || chr(12) || p_type || chr(12), chr(12)) AS ps FROM part))")
