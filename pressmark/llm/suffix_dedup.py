@@ -241,14 +241,18 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def solve() -> Iterator[pa.RecordBatch]:
         nonlocal rows, uses, size
-        own = [np.unique(np.concatenate(u), axis=0) for u in uses]  # the same use twice is one
+        own = [u[0] if len(u) == 1 == len(u[0]) else np.unique(np.concatenate(u), axis=0) for u in uses]  # the same use twice is one
         flags = repeated_windows([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([u[:, 3].sum() for u in own], np.int64), np.array([r[0] for r in rows], np.int64))
+        rows, uses, size = [], [], 0
+        told: list[np.ndarray] = []
         for u, f in zip(own, flags):
             if runs := _runs(f):
-                low, high = (np.tile(np.array(side, np.int64), len(u)) for side in zip(*runs))
-                gram, context, first = (np.repeat(u[:, k], len(runs)) for k in range(3))
-                yield pa.record_batch([pa.array(c) for c in (gram, context, low + first, high + first)], ["gram", "context", "low", "high"])
-        rows, uses, size = [], [], 0
+                of = np.repeat(u[:, :3], len(runs), axis=0)
+                of = np.column_stack([of, of[:, 2]])
+                of[:, 2:] += np.tile(np.array(runs, np.int64), (len(u), 1))
+                told.append(of)
+        if told:
+            yield pa.record_batch([pa.array(c) for c in np.concatenate(told).T.copy()], ["gram", "context", "low", "high"])
 
     for batch in batches:
         lists = batch.column("uses")
