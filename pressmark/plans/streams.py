@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressmark.plans.registry import query
+from pressmark.plans.registry import query, scratch
 from pressmark.sources import web
-from pressmark.streaming import flows
+from pressmark.streaming import flows, stateful
 
 
 @query("stream_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -27,6 +27,53 @@ def sessions(t):
     return flows.sessions(rows, "ts", "1 hour", "6 hours", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def _fed(t, rows, build, parts: int = 4):
+    """What a stream over rows gives that is stopped and started again: the earlier half by ``ts`` comes first, then the rest."""
+    path = scratch(t.spark, "stream")
+    middle = rows.agg(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5)).alias("middle"))
+    half = rows.crossJoin(F.broadcast(middle))  # one row
+    for part in (half.filter("ts <= middle"), half.filter("ts > middle")):
+        part.drop("middle").write.mode("append").parquet(f"{path}/in")
+        stateful.drain(build(flows.folder_stream(t.spark, f"{path}/in", rows.schema, 1_000_000)), f"{path}/out", f"{path}/checkpoint", parts)
+    return t.spark.read.parquet(f"{path}/out")
+
+
+def _events(t):
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_resumed_ingest", "SELECT event_id, user_id, event_type FROM events")
+def resumed(t):
+    return _fed(t, _events(t).select("event_id", "user_id", "event_type", "ts"), lambda s: s).select("event_id", "user_id", "event_type")
+
+
+@query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def first_seen(t):
+    return _fed(t, _events(t).select("user_id", "event_type", "ts"), lambda s: flows.first_seen(s, "ts", "3650 days", "user_id", "event_type")).select("user_id", "event_type")
+
+
+@query("stream_token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ b AS (SELECT user_id, event_id, s, n, 2.0::DOUBLE AS tokens FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.s, e.n, least(2.0, b.tokens - (b.tokens >= 1)::INT + (e.s - b.s) * (1.0::DOUBLE / 36000.0)) FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+ SELECT user_id, event_id, tokens >= 1 AS allowed FROM b""")
+def bucket(t):
+    return _fed(t, _events(t).select("user_id", "event_id", "ts"), lambda s: stateful.token_bucket(s, "user_id", "ts", "event_id", 1 / 36000, 2.0))
+
+
+@query("stream_daily_budget", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id)::INT AS used, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) <= 20 AS within FROM events")
+def budget(t):
+    return _fed(t, _events(t).select("event_type", "event_id", "ts"), lambda s: stateful.daily_budget(s, "event_type", "ts", "event_id", 20))
+
+
+@query("stream_ledger", """SELECT user_id, round(coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0), 4) AS spent, round(coalesce(max(CASE WHEN last = event_id AND event_type = 'signup' THEN value END), 0), 4) AS reserved, count(*) AS n
+ FROM (SELECT *, max_by(event_id, (ts, event_id)) FILTER (WHERE event_type IN ('signup', 'error')) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY user_id""")
+def ledger(t):
+    kind = F.when(F.col("event_type") == "purchase", "spend").when(F.col("event_type") == "signup", "reserve").when(F.col("event_type") == "error", "release").otherwise("other")
+    rows = _events(t).select("user_id", "event_id", "ts", "value", kind.alias("kind"), F.lit("call").alias("name"))
+    told = _fed(t, rows, lambda s: stateful.ledger(s, "user_id", "ts", "event_id", "name", "kind", "value", 3650 * 86400.0))
+    return stateful.last_of(told, "user_id", "n").select("user_id", F.round("spent", 4).alias("spent"), F.round("reserved", 4).alias("reserved"), "n")
+
+
 @query("src11_web_pages", None)
 def src11(t):
     return web.pages(t.pages, "page_id", "html").select("page_id", "title", F.char_length("text").alias("n_chars"), F.map_keys("meta").alias("meta"))

@@ -171,18 +171,23 @@ def ledger(rows: DataFrame, key: str, ts: str, order: str, name: str, kind: str,
     return rows.withWatermark(ts, late).groupBy(key).transformWithState(Ledger(ts, order, key, name, kind, amount, open_for), out, "Append", "EventTime")
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str) -> dict | None:
-    """Everything that has come since the last call, appended to ``out`` as Parquet, each once; gives the last progress."""
+def drain(stream: DataFrame, out: str, checkpoint: str, parts: int | None = None) -> dict | None:
+    """Everything that has come since the last call, appended to ``out`` as Parquet, each once; gives the last progress.
+
+    parts: over how many partitions a new stream's state is dealt, the session's shuffle partitions unless given; it stays as it was first.
+    """
     spark: SparkSession = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER} | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
         return q.lastProgress
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def last_of(rows: DataFrame, key: str, n: str) -> DataFrame:
