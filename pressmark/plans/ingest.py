@@ -126,13 +126,13 @@ def sc24(t):
     return t.part.select("p_partkey", d["value"].alias("value"), d["method"].alias("method"))
 
 
-@query("sc20_clean_issuer", None)
+@query("sc20_clean_issuer", r"SELECT p_partkey, upper(name[1]) || lower(name[2:]) AS issuer FROM (SELECT p_partkey, regexp_extract(raw, ': \[([^\]]+)\]', 1) AS name FROM (SELECT p_partkey, 'Ottawa : [' || upper(p_brand) || '] issuing body. = Other; more' AS raw FROM part))")
 def sc20(t):
     raw = F.concat(F.lit("Ottawa : ["), F.upper("p_brand"), F.lit("] issuing body. = Other; more"))
     return t.part.select("p_partkey", I.clean_issuer(raw).alias("issuer"))
 
 
-@query("sc23_normal_issuer", None)
+@query("sc23_normal_issuer", "SELECT p_partkey, CASE WHEN contains(lower(p_brand), 'brand#1') THEN 'Brand One' WHEN contains(lower(p_brand), 'brand') THEN 'Brands' ELSE p_brand END AS value, CASE WHEN contains(lower(p_brand), 'brand') THEN 'alias' ELSE 'unmapped' END AS method FROM part")
 def sc23(t):
     n = I.normal_issuer(F.lit("The Department"), F.col("p_brand"), [("brand#1", "Brand One"), ("brand", "Brands")])
     return t.part.select("p_partkey", n["value"].alias("value"), n["method"].alias("method"))

@@ -276,7 +276,8 @@ def ev20(t):
     return t.labels.select("doc_id", C.audit_status(F.col("quality") == 1, F.col("doc_id") % 5 != 0, F.col("doc_id") % 3 == 0).alias("status"))
 
 
-@query("ev22_candidate_proposal", None)
+@query("ev22_candidate_proposal", """SELECT doc_id, CASE WHEN lang IS NULL OR lang = 'en' THEN (a AND b)::INT ELSE 0 END AS relevance, CASE WHEN lang <> 'en' THEN 'other place' WHEN a AND b THEN 'mentions onheed, the' ELSE 'not clear' END AS why
+ FROM (SELECT doc_id, lang, contains(lower(coalesce(text, '')), 'the') AS a, contains(lower(coalesce(text, '')), 'onheed') AS b FROM documents)""")
 def ev22(t):
     p = C.proposed(F.lit(0.9), F.col("text"), F.array(F.lit("the"), F.lit("onheed")), F.lit("en"), F.col("lang"))
     return t.documents.select("doc_id", p["relevance"].alias("relevance"), p["why"].alias("why"))
