@@ -60,11 +60,11 @@ def bm25_weight(tf: Column, dl: Column, n: Column, tokens: Column, df: Column) -
 
 
 def bm25(post: DataFrame, stats: DataFrame, questions: DataFrame, key: str) -> DataFrame:
-    """q, key, score of every document with a term of the question. questions: (q, term), a bounded batch."""
-    wanted = post.join(F.broadcast(questions.select("term").distinct()), "term", "left_semi")
-    scored = wanted.join(F.broadcast(frequencies(wanted)), "term").crossJoin(F.broadcast(stats))  # a row a term of the questions; one row
+    """q, key, score of every document with a term of the question. questions: (q, term); a batch of any size, broadcast only where its size is known to be small."""
+    wanted = post.join(questions.select("term").distinct(), "term", "left_semi")
+    scored = wanted.join(frequencies(wanted), "term").crossJoin(F.broadcast(stats))  # one row
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("tokens"), F.col("df"))
-    return scored.select("term", key, weight.alias("w")).join(F.broadcast(questions), "term").groupBy("q", key).agg(F.sum("w").alias("score"))
+    return scored.select("term", key, weight.alias("w")).join(questions, "term").groupBy("q", key).agg(F.sum("w").alias("score"))
 
 
 def bm25_once(docs: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
@@ -101,9 +101,9 @@ def write_index(docs: DataFrame, key: str, column: str, path: str, parts: int =
 def indexed_bm25(spark, path: str, questions: DataFrame, terms: list[str], key: str) -> DataFrame:
     """q, key, score from a kept index: only the row groups that hold one of the questions' terms are read."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    found = read("postings").filter(F.col("term").isin(terms)).join(F.broadcast(read("frequencies").filter(F.col("term").isin(terms))), "term").crossJoin(F.broadcast(read("collection")))
+    found = read("postings").filter(F.col("term").isin(terms)).join(read("frequencies").filter(F.col("term").isin(terms)), "term").crossJoin(F.broadcast(read("collection")))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("tokens"), F.col("df"))
-    return found.select("term", key, weight.alias("w")).join(F.broadcast(questions), "term").groupBy("q", key).agg(F.sum("w").alias("score"))
+    return found.select("term", key, weight.alias("w")).join(questions, "term").groupBy("q", key).agg(F.sum("w").alias("score"))
 
 
 def norm(v: Column) -> Column:
@@ -136,6 +136,18 @@ def dense_top(vectors: DataFrame, key: str, column: str, query: DataFrame, k: in
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def _first(score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row, falling; columns come by key, so a stable order of those that reach the k-th breaks ties by key."""
+    if score.shape[1] <= k:
+        return np.argsort(-score, axis=1, kind="stable")
+    least = np.partition(score, -k, axis=1)[:, -k]
+    out = np.empty((len(score), k), np.int64)
+    for i, row in enumerate(score):
+        reach = np.flatnonzero(row >= least[i])
+        out[i] = reach[np.argsort(-row[reach], kind="stable")[:k]]
+    return out
+
+
 BLOCK = 2048  # vectors, and queries, that are multiplied at a time
 
 
@@ -197,8 +209,7 @@ def dense_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, q
             groups = pc.fill_null(has.column("g").combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
             for g in np.unique(groups):
                 own = np.flatnonzero(groups == g)
-                # rows come by key, so a stable order breaks ties by key
-                best = own[np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]]
+                best = own[_first(score[:, own], k)]
                 row, at = np.repeat(np.arange(asks.num_rows), best.shape[1]), best.ravel()
                 taken = [asks.column("q").take(pa.array(row)), has.column("key").take(pa.array(at)), has.column("g").take(pa.array(at))]
                 yield pa.record_batch([*[c.combine_chunks() for c in taken], pa.array(score[row, at])], ["q", "key", "g", "score"])

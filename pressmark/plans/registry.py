@@ -55,14 +55,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.mkdirs(path):
+        fs.deleteOnExit(path)
+    return folder
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one, for what a query writes and reads again."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path for what a query writes and reads again."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(spark: SparkSession, folder: str, table: str, name: str) -> str:
-    """A path below the shared folder that is the same for every query of an application while the table's files are the same: for what is built once and read often."""
+    """A path that is the same for every query of an application while the table's files are the same: for what is built once and read often."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    said = f"{spark.sparkContext.applicationId} {folder} {table} {fs.getContentSummary(path).getLength()} {fs.getFileStatus(path).getModificationTime()}"
-    return f"{shared_folder(spark)}/{name}-{hashlib.sha256(said.encode()).hexdigest()[:16]}"
+    said = f"{folder} {table} {fs.getContentSummary(path).getLength()} {fs.getFileStatus(path).getModificationTime()}"
+    return f"{_own_folder(spark)}/{name}-{hashlib.sha256(said.encode()).hexdigest()[:16]}"
