@@ -2,6 +2,8 @@
 
 Sequences of different lengths are stepped together, longest first, so the cost of
 a step is one small matrix operation over all sequences still running.
+
+Defined cases: an empty sequence has no labels and no marginals; equal scores go to the lower label.
 """
 
 from __future__ import annotations

@@ -4,6 +4,8 @@ Every per-text operator of this subpackage works on these slices with numpy, so
 Python object is made per word or per byte. A slice holds about ``SLICE_BYTES`` of
 text (a longer text is a slice by itself), which bounds the memory of a task by
 its longest text.
+
+Defined cases: a null text is an empty one; an empty batch has no slices.
 """
 
 from __future__ import annotations

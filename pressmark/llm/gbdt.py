@@ -5,6 +5,9 @@ feature may split only where the two sides' values are in the wanted order, and
 middle of the two values then bounds everything below, so a prediction never falls
 where the constraint says it must not. A fitted model is five flat node arrays: a
 batch of rows steps down all nodes of a tree at once.
+
+Defined cases: without rows, or with one label only, the forest is a constant, the smoothed share of ones; ties of a
+split go to the first found; every feature must have a value (no nan).
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 Texts are bytes; 0xFF, which UTF-8 never has, parts the pieces of a shard. Order is
 settled up to a depth: suffixes that agree that far stay as they are.
+
+Defined cases: no bytes, no suffixes; equal pieces are neighbours.
 """
 
 from __future__ import annotations
