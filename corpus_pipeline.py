@@ -15,27 +15,42 @@ def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier calls good; it is fitted on the labelled documents of sf_dir."""
+    """Documents that the line classifier calls good; it is fitted on the labelled documents of sf_dir.
+
+    A null text is empty and judged as such; repeated rows and ids are judged row by row; an empty table stays empty.
+    """
     return quality_crf.keep(docs, quality_crf.fit(*_labelled(spark, sf_dir)))
 
 
 def quality_rule(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the trees; these are fitted on the labelled documents of sf_dir."""
+    """Documents that pass the base rules and the trees; these are fitted on the labelled documents of sf_dir.
+
+    Cases as in quality_classifier.
+    """
     return quality_rules.keep(docs, quality_rules.fit(*_labelled(spark, sf_dir)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id."""
+    """One document of each group of near duplicates, that with the least id.
+
+    Texts without a word stay; of equal rows one stays; a null id comes last among equals.
+    """
     return order_minhash.keep(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages of 200 bytes or more that repeat; what is left may be empty."""
+    """All documents without the passages of 200 bytes or more that repeat; what is left may be empty.
+
+    A null text stays null; texts shorter than 200 bytes lose nothing; repeated rows lose what they share.
+    """
     return suffix_dedup.cleaned(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens.
+
+    A null text is one piece of its end token.
+    """
     return packing.pieces(docs, bpe_tree.tokenizer_file())
 
 
