@@ -35,3 +35,9 @@ def test_rare_joins_have_keys(spark):
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if not k.startswith(("op", "pipeline"))))
 def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in plan(entry.queries()[name](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["wn9_sequential_packing", "mx5_build_order", "mx13_plan_summary", "sc9_sc10_sections"])
+def test_orders_need_no_single_task(spark, name):
+    """Places, bins and digests go over sorted ranges: nothing is brought into one partition."""
+    assert "SinglePartition" not in plan(entry.queries()[name](spark, FOLDER))
