@@ -36,6 +36,7 @@ BLOCK = 128
 SEGMENT_TOKENS = 4_000_000
 ROW_GROUP = 4 << 20
 POINTER = "index.json"
+MANY = 32
 _DDL = "term string, segment long, block int, n int, first long, last long, keys array<bigint>, tfs array<int>, dls array<int>, best_tf array<int>, best_dl array<int>, least_tf int, most_dl int, positions array<int>"
 
 
@@ -146,9 +147,10 @@ class Index:
         self.pointer = json.loads(Store(spark, root).read(POINTER))
 
     def rows(self, terms: list[str], *columns: str) -> DataFrame:
-        """Blocks of these terms; each is a comparison that reaches the scan, so only row groups that may hold it are read."""
-        wanted = F.lit(False)
-        for t in dict.fromkeys(terms):
+        """Blocks of these terms; each is a comparison that reaches the scan, so only row groups that may hold it are read (of over MANY terms, their range)."""
+        named = list(dict.fromkeys(terms))
+        wanted = F.lit(False) if len(named) <= MANY else F.col("term").isin(named)
+        for t in named if len(named) <= MANY else []:
             wanted = wanted | (F.col("term") == t)
         return self.spark.read.parquet(f"{self.root}/{self.pointer['folder']}").filter(wanted).select(*columns)
 
@@ -194,31 +196,23 @@ class Index:
         return rows.mapInArrow(run, "key long")
 
     def phrase(self, terms: list[str]) -> DataFrame:
-        """key, hits: documents in which the terms stand one after another, and how often. Positions of blocks without the rarest term are not decoded."""
-        rows = self._by_segment(self.rows(terms, "segment", "term", "block", "first", "last", "keys", "tfs", "positions"))
+        """key, hits: documents in which the terms stand one after another, and how often."""
+        return self.phrases([(0, terms)]).select("key", "hits")
+
+    def phrases(self, asked: list[tuple[int, list[str]]]) -> DataFrame:
+        """q, key, hits of a batch of numbered phrases in one pass. Positions of blocks without a phrase's rarest term are not decoded."""
+        rows = self._by_segment(self.rows([t for _, ts in asked for t in ts], "segment", "term", "block", "first", "last", "keys", "tfs", "positions"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in _by(batches, "segment"):
                 by = dict(_terms(s))
-                if not terms or any(t not in by for t in terms):
-                    continue
-                rare = min(by.values(), key=lambda b: pa.compute.sum(pa.compute.list_value_length(b.column("keys"))).as_py())
-                first, last = (rare.column(c).to_numpy() for c in ("first", "last"))
-                kept = {t: b.filter(pa.array(_overlaps(b, first, last))) for t, b in by.items()}
-                owners = np.unique(np.concatenate([_keys(b) for b in kept.values()]))
-                at = None
-                for i, t in enumerate(terms):
-                    here = _places(kept[t], owners)
-                    here = here[(here & _LOW) >= i] - i
-                    at = here if at is None else np.intersect1d(at, here, assume_unique=True)
-                    if not len(at):
-                        break
-                owner = at >> 32
-                starts = _runs(owner)
-                if len(starts):
-                    yield pa.record_batch([pa.array(owners[owner[starts]]), pa.array(np.diff(np.append(starts, len(owner))))], ["key", "hits"])
-
-        return rows.mapInArrow(run, "key long, hits long")
+                for q, terms in asked:
+                    if terms and all(t in by for t in terms):
+                        keys, hits = _phrase(by, terms)
+                        if len(keys):
+                            yield pa.record_batch([pa.array([q] * len(keys), pa.int64()), pa.array(keys), pa.array(hits)], ["q", "key", "hits"])
+
+        return rows.mapInArrow(run, "q long, key long, hits long")
 
     def prefix(self, start: str) -> DataFrame:
         """key of the documents that have a term with this beginning."""
@@ -288,6 +282,24 @@ def _overlaps(b: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> np.ndar
     return (i < len(first)) & (first[np.minimum(i, len(first) - 1)] <= b.column("last").to_numpy())
 
 
+def _phrase(by: dict[str, pa.RecordBatch], terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a segment's documents that have the phrase, and how often."""
+    rare = min((by[t] for t in set(terms)), key=lambda b: pa.compute.sum(pa.compute.list_value_length(b.column("keys"))).as_py())
+    first, last = (rare.column(c).to_numpy() for c in ("first", "last"))
+    kept = {t: by[t].filter(pa.array(_overlaps(by[t], first, last))) for t in set(terms)}
+    owners = np.unique(np.concatenate([_keys(b) for b in kept.values()]))
+    at = None
+    for i, t in enumerate(terms):
+        here = _places(kept[t], owners)
+        here = here[(here & _LOW) >= i] - i
+        at = here if at is None else np.intersect1d(at, here, assume_unique=True)
+        if not len(at):
+            break
+    owner = at >> 32
+    starts = _runs(owner)
+    return owners[owner[starts]], np.diff(np.append(starts, len(owner)))
+
+
 FEW = 1024  # documents of a term in a segment that are decoded first
 
 

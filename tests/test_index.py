@@ -67,6 +67,13 @@ def test_phrases_all_of_and_prefixes(kept):
     assert sorted(r.key for r in ix.prefix("w2").collect()) == sorted(d for d, t in docs.items() if any(w.startswith("w2") for w in tokens(t)))
 
 
+def test_a_batch_of_phrases(kept):
+    docs, ix = kept
+    asked = [(k, [f"w{k}", f"w{(k + 1) % 30}"]) for k in range(30)] + [(99, []), (100, ["nowhere"])]
+    want = {(q, d): n for q, p in asked for d, t in docs.items() if p and (n := sum(tokens(t)[i : i + 2] == p for i in range(len(tokens(t)) - 1)))}
+    assert {(r.q, r.key): r.hits for r in ix.phrases(asked).collect()} == want
+
+
 def test_blocks_that_cannot_matter_are_not_decoded(spark, tmp_path):
     docs = [(k, "common " * 3 + " ".join(f"x{k}_{j}" for j in range(20)) + (" rare" if k in (70, 4000) else "")) for k in range(5000)]
     index.build(spark.createDataFrame(docs, "id long, t string").coalesce(1), "id", "t", str(tmp_path / "i"))
