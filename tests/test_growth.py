@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pressmark.operators import evaluation
+from pressmark.operators import evaluation, matching
 
 
 def plan(df):
@@ -14,3 +14,12 @@ def test_draws_of_a_bootstrap_are_dealt_and_never_broadcast(spark):
     df = spark.range(50).select("id", F.col("id").alias("a"), (F.col("id") % 3 + 1).alias("b"))
     p = plan(evaluation.bootstrap(df, "id", "a", "b", 20, "x"))
     assert "ShuffledHashJoin" in p and "Window" not in p
+
+
+def test_pairs_of_phrases_are_dealt_over_many_tasks(spark):
+    hits = spark.createDataFrame([("p", f"i{k:02d}", "xy"[k % 2], 1960 + k) for k in range(50)], "phrase string, item_id string, issuer string, year int")
+    df = matching.phrase_pairs(hits, 20, 2)
+    p = plan(df)
+    assert "BroadcastHashJoin" not in p and "REPARTITION_BY_NUM" in p
+    want = {(("change"), f"i{a:02d}", f"i{b:02d}") for a in range(50) for b in range(a, 50) if b - a >= 20 and (b - a) % 2 == 0} | {("compare", f"i{a:02d}", f"i{a + 1:02d}") for a in range(49)}
+    assert {(r.kind, r.item_id_a, r.item_id_b) for r in df.collect()} == want
