@@ -6,6 +6,8 @@ A cell holds a theta sketch for each distinct count (exact up to ``2 ** precisio
 
 Defined cases: nulls are not counted by a sketch; a cell without values has a distinct count of 0 and null quantiles; keys that are
 null are cells of their own.
+
+``ExactCube`` counts the different values of an integer column exactly at any size, by bitmaps in place of a sketch.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 PRECISION = 12
 K = 200
+BUCKET = "bucket"
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,39 @@ class Cube:
         return self.rolled(touched.unionByName(new), list(self.keys))
 
 
+@dataclass(frozen=True)
+class ExactCube:
+    """Cells that add up and count the different values of an integer column exactly, however many there are.
+
+    A cell is a row for each ``BUCKET`` of 32,768 numbers that it has values in, with their bitmap (4 KB), so no row grows and cells
+    of many values are dealt over many tasks. Nulls count as rows, in a bucket of their own, and not as values.
+    """
+
+    keys: tuple[str, ...]
+    column: str
+
+    def cells(self, rows: DataFrame) -> DataFrame:
+        """keys, bucket, n, bits from rows in one pass."""
+        return rows.groupBy(*self.keys, F.bitmap_bucket_number(self.column).alias(BUCKET)).agg(F.count("*").alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(self.column)).alias("bits"))
+
+    def rolled(self, cells: DataFrame, keys: list[str]) -> DataFrame:
+        """Cells by fewer keys, or those of several cubes by the same ones, from cells alone."""
+        return cells.groupBy(*keys, BUCKET).agg(F.sum("n").alias("n"), F.bitmap_or_agg("bits").alias("bits"))
+
+    def updated(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
+        """The rows of cells that new rows touch, with what is stored of them: only these have to be written again."""
+        new = self.cells(rows)
+        match = F.lit(True)
+        for k in (*self.keys, BUCKET):
+            match = match & F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}"))
+        touched = stored.alias("s").join(new.select(*self.keys, BUCKET).alias("n"), match, "left_semi")
+        return self.rolled(touched.unionByName(new), list(self.keys))
+
+    def counted(self, cells: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """keys, n and how many different values."""
+        return self.rolled(cells, keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.bitmap_count("bits")).alias(name))
+
+
 def distinct(sketch: str) -> Column:
     """The number of different values, rounded."""
     return F.coalesce(F.theta_sketch_estimate(sketch), F.lit(0)).cast("long")

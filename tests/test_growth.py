@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pressmark.operators import evaluation, matching
+from pressmark.operators.sketches import ExactCube
 
 
 def plan(df):
@@ -23,3 +24,16 @@ def test_pairs_of_phrases_are_dealt_over_many_tasks(spark):
     assert "BroadcastHashJoin" not in p and "REPARTITION_BY_NUM" in p
     want = {(("change"), f"i{a:02d}", f"i{b:02d}") for a in range(50) for b in range(a, 50) if b - a >= 20 and (b - a) % 2 == 0} | {("compare", f"i{a:02d}", f"i{a + 1:02d}") for a in range(49)}
     assert {(r.kind, r.item_id_a, r.item_id_b) for r in df.collect()} == want
+
+
+def test_cells_of_many_values_are_counted_exactly(spark):
+    """More values than a sketch of 2 ** 16 holds; stored cells brought up to date, nulls, negative numbers."""
+    cube = ExactCube(("place",), "item")
+    df = spark.range(-1000, 399_000).select(F.when(F.col("id") % 3 > 0, "a").alias("place"), F.when(F.col("id") % 7 > 0, F.col("id") * 7 % 150_001).alias("item"), "id")
+    first, later = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    stored = cube.cells(first)
+    touched = cube.updated(stored, later)
+    want = sorted((str(r.place), r.n, r["items"]) for r in df.groupBy("place").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items")).collect())
+    assert max(w[2] for w in want) > 1 << 16
+    for cells in (cube.cells(df), stored.unionByName(cube.cells(later)), touched):
+        assert sorted((str(r.place), r.n, r["items"]) for r in cube.counted(cells, ["place"], "items").collect()) == want
