@@ -30,10 +30,10 @@ def sessions(t):
 def _fed(t, rows, build, parts: int = 4):
     """What a stream over rows gives that is stopped and started again: the earlier half by ``ts`` comes first, then the rest."""
     path = scratch(t.spark, "stream")
-    middle = rows.agg(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5)).alias("middle"))
-    half = rows.crossJoin(F.broadcast(middle))  # one row
-    for part in (half.filter("ts <= middle"), half.filter("ts > middle")):
-        part.drop("middle").write.mode("append").parquet(f"{path}/in")
+    # found once, one number: an approximate percentile found anew for each half may differ, and rows between come twice or never
+    middle = F.timestamp_micros(F.lit(rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]).cast("long"))
+    for part in (rows.filter(F.col("ts") <= middle), rows.filter(F.col("ts") > middle)):
+        part.write.mode("append").parquet(f"{path}/in")
         stateful.drain(build(flows.folder_stream(t.spark, f"{path}/in", rows.schema, 1_000_000)), f"{path}/out", f"{path}/checkpoint", parts)
     return t.spark.read.parquet(f"{path}/out")
 
