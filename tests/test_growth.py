@@ -65,7 +65,15 @@ def test_a_mean_on_the_border_goes_by_the_order_of_the_file(spark, tmp_path):
 
 def test_a_stream_is_split_at_one_moment(spark, monkeypatch):
     """The middle is found once: an approximate percentile differs between runs, and rows between two middles come twice or never."""
-    monkeypatch.setattr(streams.F, "percentile_approx", lambda c, p: F.max(F.floor(c * (0.3 + 0.4 * F.rand()))).cast("long"))
+    monkeypatch.setattr(streams.F, "percentile_approx", lambda c, p: F.floor(F.max(c) * (0.3 + 0.4 * F.rand())).cast("long"))
     t = Tables(spark, FOLDER)
     rows = spark.range(400).select("id", F.timestamp_seconds(F.col("id")).alias("ts"))
     assert sorted(r.id for r in streams._fed(t, rows, lambda s: s, 1).collect()) == list(range(400))
+
+
+def test_partners_of_two_numbers_make_no_pairs_and_are_not_broadcast(spark):
+    """A thousand pages that share the same two numbers and no third: each finds the first of another item."""
+    df = spark.range(1000).select(F.format_string("p%04d", "id").alias("page_id"), F.format_string("i%d", F.col("id") % 500).alias("item_id"), F.lit("a").alias("jurisdiction"), F.lit(1990).alias("year"), F.array(F.lit("1"), F.lit("2"), F.concat(F.lit("x"), F.col("id").cast("string"))).alias("numbers"))
+    got = {r.page_id: (r.page_id_b, r.shared) for r in matching.partners(df, 3, 2).collect()}
+    assert got == {f"p{k:04d}": ("p0001" if k % 500 == 0 else "p0000", 2) for k in range(1000)}
+    assert "BroadcastHashJoin" not in plan(matching.partners(df, 3, 2))
