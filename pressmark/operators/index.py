@@ -30,10 +30,12 @@ from pyspark.sql.types import IntegralType
 
 from pressmark.functions import text
 from pressmark.operators.retrieval import K1, B
+from pressmark.session import setting
 from pressmark.sources.sinks import Store
 
 BLOCK = 128
-SEGMENT_TOKENS = 4_000_000
+SEGMENT_TOKENS = 1 << 20  # a worker holds one segment, some 150 bytes a token while it is cut into blocks
+BATCH = 1000  # documents that come to a worker at a time
 ROW_GROUP = 4 << 20
 POINTER = "index.json"
 MANY = 32
@@ -109,6 +111,21 @@ def _segment(number: int, keys: np.ndarray, tokens: list[pa.Array], block: int)
     )
 
 
+def _segments(batches: Iterator[pa.RecordBatch], part: int, block: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The segments of a task; each ends with the document that fills it, and nothing of it is held on to."""
+    made, keys, tokens, size = 0, [], [], 0
+    for b in batches:
+        for k, ts in zip(b.column("k").to_pylist(), b.column("ts")):
+            keys.append(k)
+            tokens.append(ts.values)
+            size += len(ts.values) + 1
+            if size >= most:
+                yield _segment((part << 32) + made, np.array(keys), tokens, block)
+                made, keys, tokens, size = made + 1, [], [], 0
+    if keys:
+        yield _segment((part << 32) + made, np.array(keys), tokens, block)
+
+
 def build(docs: DataFrame, key: str, column: str, root: str, parts: int = 16, block: int = BLOCK, segment_tokens: int = SEGMENT_TOKENS) -> dict:
     """Writes an index below a folder and points to it; gives the pointer. An older index stays readable until then."""
     if not isinstance(docs.schema[key].dataType, IntegralType):
@@ -116,23 +133,14 @@ def build(docs: DataFrame, key: str, column: str, root: str, parts: int = 16, bl
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, keys, tokens, size = TaskContext.get().partitionId(), 0, [], [], 0
-        for b in batches:
-            for k, ts in zip(b.column("k").to_pylist(), b.column("ts")):
-                keys.append(k)
-                tokens.append(ts.values)
-                size += len(ts.values) + 1
-                if size >= segment_tokens:
-                    yield _segment((part << 32) + made, np.array(keys), tokens, block)
-                    made, keys, tokens, size = made + 1, [], [], 0
-        if keys:
-            yield _segment((part << 32) + made, np.array(keys), tokens, block)
+        return _segments(batches, TaskContext.get().partitionId(), block, segment_tokens)
 
     folder = uuid.uuid4().hex
     taken = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), text.tokens(column).alias("ts"))
     rows = taken.mapInArrow(run, _DDL)
     # by hash, for ranges would be found by taking all texts apart once more; a common term's segments go to all files
-    rows.repartition(parts, "term", "segment").sortWithinPartitions("term", "segment", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{folder}")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+        rows.repartition(parts, "term", "segment").sortWithinPartitions("term", "segment", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{folder}")
     held = spark.read.parquet(f"{root}/{folder}").filter("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("tokens")).first()
     pointer = {"folder": folder, "n": held["n"], "tokens": held["tokens"]}
     Store(spark, root).put(POINTER, json.dumps(pointer).encode())

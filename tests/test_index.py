@@ -3,7 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +99,14 @@ def test_an_index_needs_integer_keys_and_may_be_empty(spark, tmp_path):
     assert index.Index(spark, str(tmp_path / "e")).top(["a"], 3).collect() == []
     with pytest.raises(TypeError):
         index.build(none.withColumn("id", F.lit("x")), "id", "t", str(tmp_path / "s"))
+
+
+def test_a_worker_holds_a_small_segment():
+    """Memory of a task that takes four million tokens apart, as numpy counts it: that of one segment, not of all."""
+    words = pa.array([f"w{i % 5000}" for i in range(1000)])
+    batch = lambda first: pa.record_batch([pa.array(range(first, first + 100)), pa.ListArray.from_arrays(pa.array(range(0, 100_001, 1000), pa.int32()), pa.concat_arrays([words] * 100))], ["k", "ts"])
+    tracemalloc.start()
+    held = sum(b.column("n").to_numpy()[np.array(b.column("term")) == ""].sum() for b in index._segments(map(batch, range(0, 4000, 100)), 0, index.BLOCK, index.SEGMENT_TOKENS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == 4000 and peak < 200 << 20, peak
