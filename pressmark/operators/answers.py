@@ -57,17 +57,20 @@ def composed(judgements: DataFrame, proposals: DataFrame) -> DataFrame:
     )
 
 
-def page_dated(rows: DataFrame, pages: DataFrame, front: int = 6) -> DataFrame:
+def page_dated(rows: DataFrame, pages: DataFrame, front: int = 6, tasks: int | None = None) -> DataFrame:
     """item_id, leaf, year, method, page_leaf: where a catalogue year is written, on the page itself or else in the front matter.
 
-    rows: item_id, leaf, year; pages: item_id, leaf, text.
+    rows: item_id, leaf, year; pages: item_id, leaf, text. tasks: over how many the rows are dealt, the session's shuffle partitions unless given.
     """
-    text = pages.select("item_id", F.col("leaf").alias("page_leaf"), years("text").alias("ys"))
-    met = rows.join(text, "item_id").filter(((F.col("page_leaf") == F.col("leaf")) | (F.col("page_leaf") < front)) & F.array_contains("ys", F.col("year")))
-    best = met.groupBy("item_id", "leaf").agg(F.min(F.struct((F.col("page_leaf") != F.col("leaf")).cast("int").alias("k"), "page_leaf")).alias("m"))
-    out = rows.join(best, ["item_id", "leaf"], "left")
-    method = F.when(F.col("m").isNull(), "not_found").when(F.col("m.k") == 0, "read_from_page").otherwise("read_from_front_matter")
-    return out.select("item_id", "leaf", F.when(F.col("m").isNotNull(), F.col("year")).alias("year"), method.alias("method"), F.col("m.page_leaf").alias("page_leaf"))
+    told = pages.select("item_id", F.col("leaf").alias("page_leaf"), F.explode(years("text")).alias("year"))
+    if tasks:
+        rows, told = (d.repartition(tasks, "item_id", "year") for d in (rows, told))
+    # each row meets one row at most: the pages of its item that name its year
+    named = told.groupBy("item_id", "year").agg(F.min(F.when(F.col("page_leaf") < front, F.col("page_leaf"))).alias("ahead"), F.collect_set("page_leaf").alias("leaves"))
+    out = rows.join(named, ["item_id", "year"], "left").withColumn("own", F.array_contains("leaves", F.col("leaf")))
+    at = F.when(F.col("own"), F.col("leaf")).otherwise(F.col("ahead"))
+    method = F.when(at.isNull(), "not_found").when(F.col("own"), "read_from_page").otherwise("read_from_front_matter")
+    return out.select("item_id", "leaf", F.when(at.isNotNull(), F.col("year")).alias("year"), method.alias("method"), at.alias("page_leaf"))
 
 
 def cut_around(text: str, keep: str, most: int) -> str:

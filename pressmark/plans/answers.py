@@ -8,6 +8,7 @@ from pressmark.operators import answers as A
 from pressmark.operators import retrieval as S
 from pressmark.plans.registry import part, query
 from pressmark.plans.retrieval import _dense, _lexical
+from pressmark.tables import dealt, tasks
 
 part("drafts", "drafts AS (SELECT conv_id AS answer, turn AS pos, 'In ' || (1990 + conv_id % 7)::VARCHAR || ' x' AS text, turn % 3 <> 0 AS cites, CASE WHEN turn % 5 = 4 THEN -1 ELSE conv_id END AS passage FROM conversations)")
 part("judged_drafts", """judged_drafts AS (SELECT answer, pos, text, passage, CASE WHEN NOT cites THEN 'no citation' WHEN passage = -1 THEN 'citation failed' WHEN answer % 7 NOT IN (0, 1, 2, 3) THEN 'names a year that is not cited' END AS reason FROM @drafts)""")
@@ -36,9 +37,10 @@ def sc56(t):
 
 @query("sc48_page_dated", """SELECT item_id, leaf, CASE WHEN p IS NOT NULL THEN year END AS year, CASE WHEN p IS NULL THEN 'not_found' WHEN p = leaf THEN 'read_from_page' ELSE 'read_from_front_matter' END AS method, p AS page_leaf FROM (SELECT a.item_id, a.leaf, a.year, (SELECT arg_min(b.leaf, ROW((b.leaf <> a.leaf)::INT, b.leaf)) FROM pg b WHERE b.item_id = a.item_id AND (b.leaf = a.leaf OR b.leaf < 6) AND b.y = a.year) AS p FROM wanted a)""".replace("FROM pg b", "FROM (SELECT l_orderkey AS item_id, l_linenumber AS leaf, min(year(l_shipdate))::INT AS y FROM lineitem GROUP BY 1, 2) b").replace("FROM wanted a", "FROM (SELECT l_orderkey AS item_id, l_linenumber AS leaf, max(year(o_orderdate))::INT AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) a"))
 def sc48(t):
-    pages = t.lineitem.groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("leaf")).agg(F.concat(F.lit("shipped "), F.min(F.year("l_shipdate")).cast("string")).alias("text"))
-    wanted = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("leaf")).agg(F.max(F.year("o_orderdate")).alias("year"))
-    return A.page_dated(wanted, pages)
+    lines, orders = dealt((t.lineitem, "l_orderkey"), (t.orders, "o_orderkey"))
+    pages = lines.groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("leaf")).agg(F.concat(F.lit("shipped "), F.min(F.year("l_shipdate")).cast("string")).alias("text"))
+    wanted = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("leaf")).agg(F.max(F.year("o_orderdate")).alias("year"))
+    return A.page_dated(wanted, pages, tasks=tasks(t.lineitem))
 
 
 @query("ev8_switch_sweep", "SELECT config, doc_id FROM (SELECT 'lexical' AS config, doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, sum(1.0 / (60 + rank)) AS s FROM @bmrank WHERE rank <= 50 GROUP BY 1) UNION ALL SELECT 'both', doc_id, row_number() OVER (ORDER BY round(s, 12) DESC, doc_id) FROM (SELECT doc_id, sum(1.0 / (60 + rank)) AS s FROM (SELECT * FROM @bmrank WHERE rank <= 50 UNION ALL SELECT * FROM @dnrank WHERE rank <= 50) GROUP BY 1)) WHERE r <= 10")
