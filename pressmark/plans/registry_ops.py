@@ -15,6 +15,7 @@ from pressmark.operators import retrieval as S
 from pressmark.operators.ordering import list_digests, numbered
 from pressmark.plans.registry import part, query
 from pressmark.plans.retrieval import TOKENS, _lexical, asking
+from pressmark.tables import dealt
 
 part("bmrank_docs", "bmrank_docs AS (SELECT doc_id AS doc, rank FROM @bmrank WHERE rank <= 50)")
 SIGNALS = {"scorn": [r"\bidiot\b", r"\bscum\b"], "worth": [r"\bworthless\b"], "the": [r"\bthe the\b"]}
@@ -204,7 +205,8 @@ def sc25(t):
 
 @query("sc29_year_check", "SELECT l_orderkey, year(l_shipdate)::INT AS year, bool_or(year(o_orderdate) = year(l_shipdate)) AS on_page FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def sc29(t):
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = dealt((t.lineitem, "l_orderkey"), (t.orders, "o_orderkey"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy("l_orderkey", F.year("l_shipdate").alias("year")).agg(F.bool_or(F.year("o_orderdate") == F.year("l_shipdate")).alias("on_page"))
 
 
