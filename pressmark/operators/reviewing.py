@@ -205,8 +205,8 @@ def scope_hints(text: Column, asked_place: Column, words: dict[str, str], end_ye
 
 def worksheet(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows to label: for each question a summary and its candidates by rank with a proposal. questions: q, text; hits: q, passage_id, rank, text."""
-    terms = salient_terms("question")
-    rows = hits.join(questions.withColumnRenamed("text", "question"), "q").withColumn("found", F.size(F.array_intersect(terms, tokens("text"))))
+    asked = questions.select("q", salient_terms("text").alias("terms"))  # once a question, not once a hit
+    rows = hits.join(asked, "q").withColumn("found", F.size(F.array_intersect("terms", tokens("text"))))
     candidates = rows.select(F.lit("candidate").alias("kind"), "q", "rank", "passage_id", (F.col("found") >= 2).cast("int").alias("proposed"))
     any_of = candidates.groupBy("q").agg(F.max("proposed").alias("best"))
     none = lambda kind: F.lit(None).cast(kind)
