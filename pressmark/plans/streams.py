@@ -28,7 +28,8 @@ def sessions(t):
 
 
 def _fed(t, rows, build, parts: int = 4):
-    """What a stream over rows gives that is stopped and started again: the earlier half by ``ts`` comes first, then the rest."""
+    """What a stream over rows gives that is stopped and started again: the earlier half by ``ts`` comes first, then the rest. State is dealt over all cores, ``parts`` at least."""
+    parts = max(parts, t.spark.sparkContext.defaultParallelism)
     path = scratch(t.spark, "stream")
     # found once, one number: an approximate percentile found anew for each half may differ, and rows between come twice or never
     middle = F.timestamp_micros(F.lit(rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]).cast("long"))

@@ -10,7 +10,7 @@ in the key are a key; a row without a time is passed over.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from typing import Any
 
@@ -120,24 +120,32 @@ class Ledger(StatefulProcessor):
         self.spent = handle.getValueState("spent", "spent double, n long")
         self.reserved = handle.getMapState("reserved", "name string", "amount double, ends double")
 
-    def _told(self, key: Any, spent: float, n: int) -> Iterator[Row]:
+    def _told(self, key: Any, spent: float, n: int, reserved: Iterable[tuple[float, float]]) -> Iterator[Row]:
         self.spent.update((spent, n))
-        return iter([Row(**{self.key: key[0], "spent": spent, "reserved": float(sum(v[0] for v in self.reserved.values())), "n": n})])
+        return iter([Row(**{self.key: key[0], "spent": spent, "reserved": float(sum(v[0] for v in reserved)), "n": n})])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        spent, n = self.spent.get() if self.spent.exists() else (0.0, 0)
+        """A call to the state costs more than a row, so a batch's changes are made here and only what is left of them is written."""
+        known = self.spent.exists()
+        spent, n = self.spent.get() if known else (0.0, 0)
+        before = {name[0]: tuple(v) for name, v in self.reserved.iterator()} if known else {}
+        now = dict(before)
         for r in sorted((r for r in rows if r[self.ts] is not None), key=lambda r: (r[self.ts], r[self.order])):
             n += 1
-            name = (str(r[self.name]),)
-            if r[self.kind] == "spend":
+            name, kind = str(r[self.name]), r[self.kind]
+            if kind == "spend":
                 spent += r[self.amount] or 0.0
-            elif r[self.kind] == "reserve":
-                ends = _seconds(r[self.ts]) + self.open_for
-                self.reserved.updateValue(name, (r[self.amount] or 0.0, ends))
-                self.handle.registerTimer(_ms(ends))
-            elif r[self.kind] == "release" and self.reserved.containsKey(name):
-                self.reserved.removeKey(name)
-        return self._told(key, spent, n)
+            elif kind == "reserve":
+                now[name] = (r[self.amount] or 0.0, _seconds(r[self.ts]) + self.open_for)
+            elif kind == "release":
+                now.pop(name, None)
+        for name, entry in now.items():
+            if entry != before.get(name):
+                self.reserved.updateValue((name,), entry)
+                self.handle.registerTimer(_ms(entry[1]))  # of those that were replaced or released none is needed
+        for name in before.keys() - now.keys():
+            self.reserved.removeKey((name,))
+        return self._told(key, spent, n, (now[name] for name in sorted(now)))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -147,7 +155,7 @@ class Ledger(StatefulProcessor):
         for name in ended:
             self.reserved.removeKey(name)
         spent, n = self.spent.get()
-        return self._told(key, spent, n + 1)
+        return self._told(key, spent, n + 1, self.reserved.values())
 
     def close(self) -> None:
         pass
