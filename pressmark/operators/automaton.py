@@ -10,6 +10,7 @@ For a handful of rules ``matching.first_rule`` and ``only_value`` stay inside th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -27,6 +28,7 @@ class Patterns:
     """The patterns of a table by number; the automaton is built where it is used, not sent."""
 
     def __init__(self, patterns: tuple[str, ...]):
+        self.patterns = patterns
         self.numbers: dict[str, list[int]] = {}
         for i, p in enumerate(patterns):
             self.numbers.setdefault(p, []).append(i)
@@ -37,6 +39,14 @@ class Patterns:
         if self.numbers:
             self._machine.make_automaton()
 
+    def places(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """Where an occurrence of a pattern ends, its last character, and the numbers of the pattern."""
+        return self._machine.iter(text) if self.numbers else iter(())
+
+    def numbers_of(self, first: int) -> list[int]:
+        """All numbers of the pattern that is first given under this one."""
+        return self.numbers[self.patterns[first]]
+
     def found(self, text: str) -> list[int]:
         """The numbers of the patterns that are in the text, ascending."""
         hits = set(self._always)
@@ -117,17 +127,51 @@ def _as_words(term: str) -> re.Pattern:
     return re.compile(r"(?<!\w)" + r"[\s-]+".join(re.escape(w) for w in term.split()) + r"(?!\w)")
 
 
+def _within(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+class Words:
+    """Terms that are looked for as whole words, by number; built once in a worker."""
+
+    def __init__(self, plain: tuple[str, ...]):
+        joined = tuple(map(_joined, plain))
+        self.machine, self.sizes, self.plain = Patterns(joined), tuple(map(len, joined)), plain
+
+    def found(self, text: str) -> list[int]:
+        """The numbers of the terms that stand in the text, ascending.
+
+        Where the automaton found a term the characters on both sides decide, so a text costs its length and its hits. A hyphen
+        inside a term stands for itself, which the joined text does not tell: such a term is then looked for by its pattern.
+        """
+        joined = _joined(text)
+        bounded, anywhere = set(), set()  # numbers of hits
+        for end, numbers in self.machine.places(joined):
+            one = numbers[0]
+            anywhere.add(one)
+            if one not in bounded:
+                start = end + 1 - self.sizes[one]
+                if not (start and _within(joined[start - 1])) and not (end + 1 < len(joined) and _within(joined[end + 1])):
+                    bounded.add(one)
+        return sorted(i for one in anywhere for i in self.machine.numbers_of(one) if (_as_words(self.plain[i]).search(text) if "-" in self.plain[i] else one in bounded))
+
+
+@lru_cache(maxsize=8)
+def _words(plain: tuple[str, ...]) -> Words:
+    return Words(plain)
+
+
 def terms(text: Column, wanted: list[str]) -> Column:
     """Those of the terms, in their order, that stand in the text as whole words, with hyphens or white space between them.
 
-    Case and accents do not count. The automaton finds candidates in a text whose gaps are all one space; only these are then
-    looked for by their own pattern.
+    Case and accents do not count. The automaton finds them in a text whose gaps are all one space.
     """
     plain = tuple(" ".join(w.translate(_PLAIN).lower().split()) for w in wanted)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        machine = _built(tuple(map(_joined, plain)))
-        return pd.Series([[wanted[i] for i in machine.found(_joined(t)) if plain[i] and _as_words(plain[i]).search(t)] for t in texts], dtype=object)
+        words = _words(plain)
+        return pd.Series([[wanted[i] for i in words.found(t)] for t in texts], dtype=object)
 
-    return run(F.lower(without_accents(text)))
+    # so that a filter on the terms does not look for them once more
+    return run.asNondeterministic()(F.lower(without_accents(text)))

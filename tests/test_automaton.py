@@ -49,3 +49,23 @@ def test_terms_are_whole_words(spark):
     terms = ["of the", "Café", "e-mail", "x", ""]
     texts = ["a list of the things", "of - the", "off the", "CAFE, open", "cafes", "an e-mail", "an e mail", "of\n the x", None]
     assert [r[0] for r in columns(spark, texts, automaton.terms(F.col("t"), terms))] == [["of the"], ["of the"], [], ["Café"], [], ["e-mail"], [], ["of the", "x"], []]
+
+
+def test_terms_by_place_as_by_their_own_patterns(spark, monkeypatch):
+    """Gaps, hyphens within and around terms, equal joined forms, letters outside the first plane; no pattern is searched for a term without a hyphen."""
+    r = random.Random(3)
+    piece = lambda: r.choice(["a", "b", "ab", "é", "_", "1", " ", " ", "-", "- ", "\n", ".", "\U0001d7d8", "\x85"])
+    wanted = ["a b", "a-b", "b", "ab a", "-a", "a-", "-", "é", "e", "a \U0001d7d8", "", " ", "_a", "a b", "b  a"]
+    texts = ["".join(piece() for _ in range(r.randrange(1, 25))) for _ in range(3000)]
+    plain = [" ".join(w.translate(automaton._PLAIN).lower().split()) for w in wanted]
+    own = lambda t: [w for w, p in zip(wanted, plain) if p and automaton._as_words(p).search(t.translate(automaton._PLAIN).lower())]
+    got = columns(spark, texts, automaton.terms(F.col("t"), wanted))
+    assert [g[0] for g in got] == [own(t) for t in texts]
+    made = automaton.Words(("a b", "b"))
+    monkeypatch.setattr(automaton, "_as_words", None)
+    assert made.found("b a-b ab") == [0, 1]
+
+
+def test_a_filter_on_terms_looks_for_them_once(spark):
+    made = spark.createDataFrame([("of the",), ("of",)], "t string").select(automaton.terms(F.col("t"), ["of the"]).alias("x")).filter(F.size("x") > 0)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and made.count() == 1
