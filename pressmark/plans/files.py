@@ -77,8 +77,14 @@ def src6(t):
     return readers.raw_items(t.spark, f"{path}/*").select("identifier", "title", "collection_raw", "has_word_coords", "page_count")
 
 
+#: Bytes of texts that become one page file in XML; no reader splits one.
+XML_TEXTS = 32 << 20
+
+
 def _xml(t):
     path = scratch(t.spark, "xml")
+    size = t.documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(t.spark.sparkContext.defaultParallelism, -(-size // XML_TEXTS))
     words = F.array_join(F.transform(T.tokens("text"), lambda w: F.concat(F.lit("<WORD> "), w, F.lit("</WORD>"))), "")
 
     def document(batches):  # each partition becomes one file with one root
@@ -86,7 +92,7 @@ def _xml(t):
         yield from (pa.record_batch([b.column(0)], ["value"]) for b in batches)
         yield pa.record_batch([pa.array(["</DOCUMENT>"])], ["value"])
 
-    rows = t.documents.select(F.concat(F.lit("<OBJECT><PARAGRAPH><LINE>"), words, F.lit("</LINE></PARAGRAPH></OBJECT>")).alias("value"))
+    rows = t.documents.repartition(files, "doc_id").select(F.concat(F.lit("<OBJECT><PARAGRAPH><LINE>"), words, F.lit("</LINE></PARAGRAPH></OBJECT>")).alias("value"))
     rows.mapInArrow(document, "value string").write.text(path)
     return readers.xml_pages(t.spark, path)
 

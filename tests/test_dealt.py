@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pressmark import tables
 from pressmark.operators import answers
+from pressmark.plans import files
 from pressmark.session import setting
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,3 +40,11 @@ def test_a_year_is_looked_for_without_pairs_of_pages(spark):
     got = [tuple(x) for x in made.filter(F.col("leaf").isNotNull()).collect()]
     assert sorted(got, key=str) == sorted((want(*x) for x in asked), key=str)
     assert "item_id" in made.columns and made.count() == len(rows)
+
+
+def test_page_files_in_xml_do_not_grow_with_the_input(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "XML_TEXTS", 20_000, raising=False)
+    monkeypatch.setattr(files, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    assert files._xml(tables.Tables(spark, FOLDER)).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    sizes = [f.stat().st_size for f in (tmp_path / "xml").glob("part-*")]
+    assert max(sizes) < 8 * 20_000 + 20 * max(len(r.text or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()) and max(sizes) < sum(sizes) / 8
