@@ -19,6 +19,7 @@ from pressmark.functions import periods, text
 from pressmark.session import checkpointed
 
 K1, B, RRF_K = 1.2, 0.75, 60
+SALT = 8  # files that hold a term's postings
 QUALITY_WEIGHTS = {"high": 1.0, "medium": 0.9, "low": 0.75}
 SECTION_WEIGHTS = {"front": 0.5, "body": 1.0, "back": 0.5}
 
@@ -35,13 +36,40 @@ class RetrieveConfig:
     drop_stopwords: bool = True
 
 
+def repeated(docs: DataFrame, key: str) -> bool:
+    """Whether any key is held by several rows; reads the keys alone."""
+    return not docs.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def counted_tokens(ts: Column) -> Column:
+    """array<struct(term, tf)>: the different tokens of a list and how often each is in it, by its sorted order."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    run = lambda s, at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("long").alias("tf")))
+    counted = lambda s: F.transform(F.array(starts(s)), lambda at: run(s, at))[0]
+    return F.get(F.transform(F.filter(F.array(F.sort_array(ts)), lambda s: F.size(s) > 0), counted), 0)  # null without tokens
+
+
 def postings(docs: DataFrame, key: str, column: str, only: list[str] | None = None) -> DataFrame:
-    """term, key, tf, dl: one row for each different token of a document, or each that is among ``only`` (the terms of a question)."""
+    """term, key, tf, dl: one row for each different token of a document, or each that is among ``only`` (the terms of a question).
+
+    A document's tokens are counted where its text is, without a shuffle; where rows share a key, which a pass over the keys tells, they count together.
+    """
     t = docs.select(key, text.tokens(column).alias("ts"))
+    if only is None and not repeated(docs, key):
+        return t.select(key, F.size("ts").alias("dl"), F.explode(counted_tokens(F.col("ts"))).alias("p")).select("p.term", key, "p.tf", "dl")
     rows = t.select(key, F.size("ts").alias("dl"), F.explode("ts" if only is None else F.filter("ts", lambda w: w.isin(only))).alias("term"))
     return rows.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def frequencies_by(docs: DataFrame, key: str, column: str, group: str) -> DataFrame:
+    """group, term, df: in how many documents of each group a term is. A task adds up its own documents before anything is shuffled."""
+    if repeated(docs, key):
+        rows = postings(docs, key, column).join(docs.select(key, group), key)
+    else:
+        rows = docs.filter(F.col(key).isNotNull()).select(group, F.explode(F.array_distinct(text.tokens(column))).alias("term"))
+    return rows.groupBy(group, "term").agg(F.count("*").alias("df"))
+
+
 def collection(docs: DataFrame, column: str) -> DataFrame:
     """One row: documents and tokens."""
     return docs.agg(F.count("*").alias("n"), F.sum(F.size(text.tokens(column))).alias("tokens"))
@@ -91,9 +119,12 @@ def _is(word: str):
 
 
 def write_index(docs: DataFrame, key: str, column: str, path: str, parts: int = 64) -> None:
-    """Keeps postings in order of term over ``parts`` ranges (a common term's are dealt to several), their frequencies, and the collection's size."""
+    """Keeps postings in order of term in ``parts`` files (a common term's are dealt to several), their frequencies, and the collection's size.
+
+    By hash, for ranges would be found by taking all texts apart once more.
+    """
     post = postings(docs, key, column)
-    post.repartitionByRange(parts, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    post.repartition(parts, "term", F.pmod(F.xxhash64(key), F.lit(SALT))).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
     frequencies(docs.sparkSession.read.parquet(f"{path}/postings")).sort("term").write.mode("overwrite").parquet(f"{path}/frequencies")
     collection(docs, column).write.mode("overwrite").parquet(f"{path}/collection")
 

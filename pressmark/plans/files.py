@@ -338,11 +338,10 @@ def snk3(t):
 
 def _sharded(t):
     """term, shard, df and shard, passages, tokens of documents by language."""
-    from pressmark.operators.retrieval import postings
+    from pressmark.operators.retrieval import frequencies_by
 
-    post = postings(t.documents, "doc_id", "text").join(t.documents.select("doc_id", F.col("lang").alias("shard")), "doc_id")
     held = t.documents.groupBy(F.col("lang").alias("shard")).agg(F.count("*").alias("passages"), F.sum(F.size(T.tokens("text"))).alias("tokens"))
-    return post.groupBy("term", "shard").agg(F.count("*").alias("df")), held
+    return frequencies_by(t.documents.withColumnRenamed("lang", "shard"), "doc_id", "text", "shard").select("term", "shard", "df"), held
 
 
 @query("snk4_bucketed_index", "SELECT term, shard, df FROM @sharddf")
