@@ -34,6 +34,22 @@ def test_pairs_of_phrases_are_dealt_over_many_tasks(spark):
     assert {(r.kind, r.item_id_a, r.item_id_b) for r in df.collect()} == want
 
 
+def test_pairs_of_one_phrase_are_the_work_of_many_tasks(spark, monkeypatch):
+    """Hits of one phrase, issuer and few years in blocks of three: no key is one task's, and every pair comes once; nulls pair with nothing."""
+    monkeypatch.setattr(matching, "BLOCK", 3, raising=False)
+    monkeypatch.setattr(matching, "STRIPE", 2, raising=False)
+    rows = [("p", f"i{k * 37 % 101}", "x", 1960 + k % 2 * 20) for k in range(90)] + [("q", f"i{k}", "xy"[k % 2], 1980 + k % 3) for k in range(40)]
+    rows += [("q", "i7", "x", 1981), ("q", "i7", "y", 1982), (None, "i1", "x", 1960), ("q", None, "x", 1980), ("q", "i1", None, 1980), ("q", "i2", "y", None)]
+    df = matching.phrase_pairs(spark.createDataFrame(rows, "phrase string, item_id string, issuer string, year int"), 20, 2)
+    whole = [r for r in rows if None not in r]
+    pairs = [(a, b) for a, b in itertools.product(whole, whole) if a[0] == b[0] and a[1] < b[1]]
+    want = [("change", a[0], a[1], b[1], a[3], b[3]) for a, b in pairs if a[2] == b[2] and abs(a[3] - b[3]) >= 20]
+    want += [("compare", a[0], a[1], b[1], a[3], b[3]) for a, b in pairs if a[2] != b[2] and abs(a[3] - b[3]) <= 2]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    tasks = df.withColumn("task", F.spark_partition_id()).groupBy("kind").agg(F.countDistinct("task").alias("n"))
+    assert min(r.n for r in tasks.collect()) > 3
+
+
 def test_cells_of_many_values_are_counted_exactly(spark):
     """More values than a sketch of 2 ** 16 holds; stored cells brought up to date, nulls, negative numbers."""
     cube = ExactCube(("place",), "item")
